@@ -42,7 +42,7 @@ def cell_id(x, y, size, origin_x=0.0, origin_y=0.0, offset_x=0.0, offset_y=0.0)
 def block_id(x, y, grid: int, min_x, min_y, max_x, max_y) -> Column:
     """x-major block number on a grid x grid partition of the bounds.
 
-    A coordinate outside the bounds (beyond a relative 1e-9) is an error.
+    A coordinate outside the bounds (beyond 16 ulp of the upper one) is an error.
     """
     if grid < 2:
         raise ValueError("the block grid needs at least two cells per side")
@@ -50,7 +50,7 @@ def block_id(x, y, grid: int, min_x, min_y, max_x, max_y) -> Column:
     def axis(v, lo, hi):
         v, lo, hi = as_col(v), as_col(lo), as_col(hi)
         span = F.greatest(hi - lo, F.lit(1e-12))
-        eps = F.greatest(F.abs(lo), F.abs(hi), F.lit(1.0)) * F.lit(1e-9)
+        eps = F.greatest(F.abs(hi), F.lit(1.0)) * F.lit(16 * 2.0**-52)
         raw = F.floor((v - lo) / span * F.lit(float(grid))).cast("bigint")
         clipped = F.greatest(F.lit(0), F.least(F.lit(grid - 1), raw)).cast("bigint")
         outside = (v < lo - eps) | (v > hi + eps)

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from stratafold.plans import metric_plans
+from stratafold.plans import metric_plans, spatial_plans
 
-PLANS = {**metric_plans.PLANS}
+PLANS = {**metric_plans.PLANS, **spatial_plans.PLANS}
