@@ -166,14 +166,24 @@ def single_value(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     return agg.withColumn("passed", ok)
 
 
-def selection_protocol(runs: DataFrame, tree_models: Sequence[str]) -> DataFrame:
-    """Protocol label or problem per run: tree models are one untuned fit, others selected by validation AP."""
-    tree = F.col("algorithm").isin(list(tree_models))
-    close = F.abs(F.col("selected_score") - F.col("validation_ap")) <= 1e-9 * F.greatest(F.abs("selected_score"), F.abs("validation_ap"))
+def selection_protocol(runs: DataFrame, tree_models: Sequence[str], deep_models: Sequence[str]) -> DataFrame:
+    """Protocol label or problem per run.
+
+    Tree models must be one untuned fit; deep models must be configured and
+    recorded as selected by average precision, with a selected score equal to
+    the validation one. Needs algorithm, optimizer, configured_metric,
+    recorded_metric, selected_score and validation_ap columns.
+    """
+    tree, deep = F.col("algorithm").isin(list(tree_models)), F.col("algorithm").isin(list(deep_models))
+    selected, valid = F.col("selected_score"), F.col("validation_ap")
+    close = F.abs(selected - valid) <= F.greatest(F.lit(1e-12), F.lit(1e-9) * F.greatest(F.abs(selected), F.abs(valid)))
+    by_ap = (F.col("configured_metric") == "pr_auc") & (F.col("recorded_metric") == "pr_auc")
     problem = (
-        F.when(tree & (F.coalesce("optimizer", F.lit("none")) != "none"), "tree model was tuned")
-        .when(~tree & (F.coalesce("selection_metric", F.lit("")) != "average_precision"), "not selected by average precision")
-        .when(~tree & ~F.coalesce(close, F.lit(False)), "selected score differs from validation AP")
+        F.when(tree & ~F.coalesce(F.col("optimizer") == "none", F.lit(False)), "not a single fit")
+        .when(~tree & ~deep, "unknown algorithm")
+        .when(deep & ~F.coalesce(by_ap, F.lit(False)), "not selected by validation average precision")
+        .when(deep & (selected.isNull() | valid.isNull()), "selection evidence is missing")
+        .when(deep & ~close, "selected score differs from the validation score")
     )
-    label = F.when(tree, "single fit").otherwise("best validation AP")
+    label = F.when(tree, "single_fit_no_checkpoint").otherwise("validation_pr_auc_checkpoint")
     return runs.withColumn("problem", problem).withColumn("protocol", F.when(problem.isNull(), label))

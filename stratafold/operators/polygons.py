@@ -8,11 +8,13 @@ level that fits its size, and points meet bands by an equi join on
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafold.operators.ordering import small_side
 from stratafold.session import int_conf
@@ -20,7 +22,7 @@ from stratafold.session import int_conf
 EDGES_PER_BAND = 64
 # Layers of at most this many edges are tested inside the projection, without a join.
 INLINE_EDGES_KEY = "spark.stratafold.inlineEdges"
-INLINE_EDGES_DEFAULT = 512
+INLINE_EDGES_DEFAULT = 4096
 # A point this close to a zone still belongs to it when zones are assigned (fixed value).
 ASSIGN_TOLERANCE = 0.01
 
@@ -112,29 +114,67 @@ def _turn_on_edge(e: Column, px: Column, py: Column) -> Column:
     return F.when(~on, 0).when(end, 2).otherwise(forward * e["turn"])
 
 
-ZONE_SCHEMA = (
-    "array<struct<zone_id:bigint,min_x:double,min_y:double,max_x:double,max_y:double,"
-    "edges:array<struct<x1:double,y1:double,x2:double,y2:double,turn:int>>>>"
-)
+POSITION = T.StructType([
+    T.StructField("interior", T.BooleanType()), T.StructField("touches", T.BooleanType()),
+    T.StructField("distance", T.DoubleType()), T.StructField("zone_id", T.LongType()),
+])
 
 
-def inline_layer(zones: DataFrame) -> Column | None:
-    """The layer as one literal array when it is proven small, else None.
+def inline_layer(zones: DataFrame) -> Callable[[Column, Column], Column] | None:
+    """A column function (x, y) -> position against the layer, or None unless it is proven small.
 
     Reads at most limit + 1 zones, and edges only of zones within the limit.
+    Positions are computed batch-wise in NumPy inside the projection, so a
+    small layer costs neither a join nor a shuffle of the points.
     """
     limit = int_conf(zones.sparkSession, INLINE_EDGES_KEY, INLINE_EDGES_DEFAULT)
     n = F.size("edges")
     rows = with_edges(zones).select(
-        "zone_id", "min_x", "min_y", "max_x", "max_y", n.alias("n"), F.when(n <= limit, F.col("edges")).alias("edges")
+        "zone_id", n.alias("n"), F.when(n <= limit, F.col("edges")).alias("edges")
     ).limit(limit + 1).collect()
-    if sum(r["n"] for r in rows) > limit or len(rows) > limit:
+    if sum(r["n"] for r in rows) > limit or len(rows) > limit or not rows:
         return None
-    text = json.dumps([
-        {**{k: r[k] for k in ("zone_id", "min_x", "min_y", "max_x", "max_y")}, "edges": [e.asDict() for e in r["edges"]]}
-        for r in rows
-    ])
-    return F.from_json(F.lit(text), ZONE_SCHEMA)
+    rows.sort(key=lambda r: r["zone_id"])
+    ids = np.array([r["zone_id"] for r in rows], dtype=np.int64)
+    starts = np.cumsum([0] + [r["n"] for r in rows[:-1]])
+    table = np.array([[e.x1, e.y1, e.x2, e.y2, e.turn] for r in rows for e in r["edges"]], dtype=float)
+
+    @F.pandas_udf(POSITION)
+    def position(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        xs, ys = x.to_numpy(dtype=float), y.to_numpy(dtype=float)
+        step = max(1, 1_000_000 // len(table))
+        parts = [_positions(xs[i:i + step], ys[i:i + step], table, starts, ids) for i in range(0, len(xs), step)]
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], [], []]
+        zone = pd.Series(columns[3], dtype="float64").astype("Int64")
+        return pd.DataFrame({"interior": columns[0], "touches": columns[1], "distance": columns[2], "zone_id": zone})
+
+    return position
+
+
+def _positions(xs, ys, table, starts, ids):
+    """Interior, touch, distance and first zone of a block of points against all edges at once."""
+    x1, y1, x2, y2, turn = table.T
+    px, py = xs[:, None], ys[:, None]
+    dx, dy = x2 - x1, y2 - y1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossing = ((y1 > py) != (y2 > py)) & (px < dx * (py - y1) / dy + x1)
+    on = (
+        (dx * (py - y1) - dy * (px - x1) == 0)
+        & (px >= np.minimum(x1, x2)) & (px <= np.maximum(x1, x2)) & (py >= np.minimum(y1, y2)) & (py <= np.maximum(y1, y2))
+    )
+    end = ((px == x1) & (py == y1)) | ((px == x2) & (py == y2))
+    side = np.where((dx > 0) | ((dx == 0) & (dy > 0)), 1, -1) * turn
+    odd = np.add.reduceat(crossing, starts, axis=1, dtype=np.int64) % 2 == 1
+    border = np.logical_or.reduceat(on, starts, axis=1)
+    shared = (on & ~end & (side == 1)).any(axis=1) & (on & ~end & (side == -1)).any(axis=1)
+    interior = (odd & ~border).any(axis=1) | shared
+    touches = (odd | border).any(axis=1)
+    len2 = dx * dx + dy * dy
+    t = np.clip(((px - x1) * dx + (py - y1) * dy) / np.where(len2 > 0, len2, 1.0), 0.0, 1.0)
+    gap2 = (px - (x1 + t * dx)) ** 2 + (py - (y1 + t * dy)) ** 2
+    near = odd | (np.minimum.reduceat(gap2, starts, axis=1) <= ASSIGN_TOLERANCE**2)
+    first = np.where(near.any(axis=1), ids[near.argmax(axis=1)].astype(float), np.nan)
+    return interior, touches, np.where(touches, 0.0, np.sqrt(gap2.min(axis=1))), first
 
 
 def _crossings(edges: Column, px: Column, py: Column) -> Column:
@@ -145,38 +185,6 @@ def _crossings(edges: Column, px: Column, py: Column) -> Column:
     return F.size(F.filter(edges, crossing)) % 2 == 1
 
 
-def _in_box(z: Column, px: Column, py: Column) -> Column:
-    return px.between(z["min_x"], z["max_x"]) & py.between(z["min_y"], z["max_y"])
-
-
-def _inline_turns(layer: Column, px: Column, py: Column) -> Column:
-    near = F.filter(layer, lambda z: _in_box(z, px, py))
-    return F.flatten(F.transform(near, lambda z: F.filter(F.transform(z["edges"], lambda e: _turn_on_edge(e, px, py)), lambda t: t != 0)))
-
-
-def inline_interior(layer: Column, px: Column, py: Column, turns: Column) -> Column:
-    """Interior of the union: strictly inside a zone, or on a border with zones on both sides."""
-    inside = F.exists(
-        layer,
-        lambda z: _in_box(z, px, py) & _crossings(z["edges"], px, py)
-        & ~F.exists(z["edges"], lambda e: _turn_on_edge(e, px, py) != 0),
-    )
-    return inside | (F.array_contains(turns, 1) & F.array_contains(turns, -1))
-
-
-def inline_touches(layer: Column, px: Column, py: Column) -> Column:
-    return F.exists(
-        layer,
-        lambda z: _in_box(z, px, py)
-        & (_crossings(z["edges"], px, py) | F.exists(z["edges"], lambda e: _turn_on_edge(e, px, py) != 0)),
-    )
-
-
-def inline_distance(layer: Column, px: Column, py: Column) -> Column:
-    gap2 = F.array_min(F.transform(layer, lambda z: F.array_min(F.transform(z["edges"], lambda e: _edge_gap2(e, px, py)))))
-    return F.when(inline_touches(layer, px, py), F.lit(0.0)).otherwise(F.sqrt(gap2))
-
-
 def candidates(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y", pad: float = 0.0) -> DataFrame:
     """Point columns plus (zone_id, inside, turns, gap2) for each zone whose padded box holds the point."""
     filed = bands(zones, pad)
@@ -214,9 +222,8 @@ def membership(points: DataFrame, zones: DataFrame, point_id: str, x: str = "x",
     """
     layer = inline_layer(zones)
     if layer is not None:
-        px, py = F.col(x), F.col(y)
-        hit = points.where(inline_touches(layer, px, py)).withColumn("_turns", _inline_turns(layer, px, py))
-        return hit.select(point_id, inline_interior(layer, px, py, F.col("_turns")).alias("interior"), F.lit(True).alias("touches"))
+        placed = points.select(point_id, layer(F.col(x), F.col(y)).alias("_p"))
+        return placed.where("_p.touches").select(point_id, "_p.interior", "_p.touches")
     hits = candidates(points.select(point_id, x, y), zones, x, y).where(F.col("inside") | (F.size("turns") > 0))
     agg = hits.groupBy(point_id).agg(
         F.bool_or("inside").alias("_in"),
@@ -232,8 +239,7 @@ def within(points: DataFrame, zones: DataFrame, point_id: str, x: str = "x", y:
     """Points strictly inside the union."""
     layer = inline_layer(zones)
     if layer is not None:
-        px, py = F.col(x), F.col(y)
-        return points.where(inline_interior(layer, px, py, _inline_turns(layer, px, py)))
+        return points.where(layer(F.col(x), F.col(y))["interior"])
     hit = membership(points, zones, point_id, x, y).where("interior").select(point_id)
     return points.join(hit, point_id, "left_semi")
 
@@ -242,7 +248,7 @@ def outside(points: DataFrame, zones: DataFrame, point_id: str, x: str = "x", y:
     """Points that do not intersect the union, boundary included in the exclusion."""
     layer = inline_layer(zones)
     if layer is not None:
-        return points.where(~inline_touches(layer, F.col(x), F.col(y)))
+        return points.where(~layer(F.col(x), F.col(y))["touches"])
     hit = membership(points, zones, point_id, x, y).select(point_id)
     return points.join(hit, point_id, "left_anti")
 
@@ -251,8 +257,7 @@ def flag(points: DataFrame, zones: DataFrame, point_id: str, out: str, x: str =
     """Add a boolean: strictly inside the union."""
     layer = inline_layer(zones)
     if layer is not None:
-        px, py = F.col(x), F.col(y)
-        return points.withColumn(out, inline_interior(layer, px, py, _inline_turns(layer, px, py)))
+        return points.withColumn(out, layer(F.col(x), F.col(y))["interior"])
     hit = membership(points, zones, point_id, x, y).where("interior").select(point_id, F.lit(True).alias(out))
     return points.join(hit, point_id, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
@@ -261,14 +266,9 @@ def assign_zone(
     points: DataFrame, zones: DataFrame, point_id: str, x: str = "x", y: str = "y", tolerance: float = ASSIGN_TOLERANCE
 ) -> DataFrame:
     """Add zone_id: the first zone (smallest id) within the tolerance, NULL when none."""
-    layer = inline_layer(zones)
+    layer = inline_layer(zones) if tolerance == ASSIGN_TOLERANCE else None
     if layer is not None:
-        px, py = F.col(x), F.col(y)
-        hits = F.filter(layer, lambda z: (
-            px.between(z["min_x"] - tolerance, z["max_x"] + tolerance) & py.between(z["min_y"] - tolerance, z["max_y"] + tolerance)
-            & (_crossings(z["edges"], px, py) | F.exists(z["edges"], lambda e: _edge_gap2(e, px, py) <= tolerance * tolerance))))
-        first = F.array_min(F.transform(hits, lambda z: z["zone_id"]))
-        return points.withColumn("zone_id", first.cast(zones.schema["zone_id"].dataType))
+        return points.withColumn("zone_id", layer(F.col(x), F.col(y))["zone_id"].cast(zones.schema["zone_id"].dataType))
     near = candidates(points.select(point_id, x, y), zones, x, y, pad=tolerance)
     hit = near.where(F.col("odd") | (F.col("gap2") <= tolerance * tolerance))
     first = hit.groupBy(point_id).agg(F.min("zone_id").alias("zone_id"))
@@ -285,7 +285,7 @@ def add_distance(points: DataFrame, zones: DataFrame, point_id: str, out: str, x
     """
     layer = inline_layer(zones)
     if layer is not None:
-        return points.withColumn(out, inline_distance(layer, F.col(x), F.col(y)))
+        return points.withColumn(out, layer(F.col(x), F.col(y))["distance"])
     edges = with_edges(zones).select(F.explode("edges").alias("e")).select("e.x1", "e.y1", "e.x2", "e.y2").distinct()
     span = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
     box = edges.agg(
