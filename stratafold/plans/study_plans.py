@@ -333,11 +333,11 @@ def ledger_status(spark, folder):
     return experiments.ledger_status(ledger(spark, folder), ["model"])
 
 
-@plan("best_checkpoint", with_views("""+h AS (SELECT realiz, model, id, row_number() OVER (PARTITION BY realiz, model ORDER BY id) AS at, CAST(label AS DOUBLE) / 2 + probability / 4 AS s FROM v_pred),
- w AS (SELECT realiz, model, at, id, s AS best, id AS best_epoch, 1 AS lst, false AS done FROM h WHERE at = 1
- UNION ALL SELECT h.realiz, h.model, h.at, h.id, CASE WHEN h.s > w.best + 1e-6 THEN h.s ELSE w.best END, CASE WHEN h.s > w.best + 1e-6 THEN h.id ELSE w.best_epoch END, CASE WHEN h.s > w.best + 1e-6 THEN h.at ELSE w.lst END,
-  CASE WHEN h.s > w.best + 1e-6 THEN false ELSE h.at - w.lst >= 30 END FROM w JOIN h ON h.realiz = w.realiz AND h.model = w.model AND h.at = w.at + 1 WHERE NOT w.done)
- SELECT realiz, model, round(arg_max(best, at), 6) AS best_score, arg_max(best_epoch, at) AS best_epoch, arg_max(id, at) AS stop_epoch FROM w GROUP BY realiz, model""", "v_pred").replace("WITH ", "WITH RECURSIVE ", 1))
+@plan("best_checkpoint", with_views("""+h AS (SELECT realiz, model, id, row_number() OVER (PARTITION BY realiz, model ORDER BY id) AS pos, CAST(label AS DOUBLE) / 2 + probability / 4 AS s FROM v_pred),
+ w AS (SELECT realiz, model, pos, id, s AS best, id AS best_epoch, 1 AS lst, false AS done FROM h WHERE pos = 1
+ UNION ALL SELECT h.realiz, h.model, h.pos, h.id, CASE WHEN h.s > w.best + 1e-6 THEN h.s ELSE w.best END, CASE WHEN h.s > w.best + 1e-6 THEN h.id ELSE w.best_epoch END, CASE WHEN h.s > w.best + 1e-6 THEN h.pos ELSE w.lst END,
+  CASE WHEN h.s > w.best + 1e-6 THEN false ELSE h.pos - w.lst >= 30 END FROM w JOIN h ON h.realiz = w.realiz AND h.model = w.model AND h.pos = w.pos + 1 WHERE NOT w.done)
+ SELECT realiz, model, round(arg_max(best, pos), 6) AS best_score, arg_max(best_epoch, pos) AS best_epoch, arg_max(id, pos) AS stop_epoch FROM w GROUP BY realiz, model""", "v_pred").replace("WITH ", "WITH RECURSIVE ", 1))
 def best_checkpoint(spark, folder):
     """Early stopping replayed over each run's score series, patience 30."""
     history = view(spark, folder, "v_pred").select(*RUN, "id", (F.col("label").cast("double") / 2 + F.col("probability") / 4).alias("s"))
