@@ -70,8 +70,10 @@ def json_field(document: Column, path: str, default: str | None = None) -> Colum
 
 def first_token(names: Column, tokens: Sequence[str]) -> Column:
     """First name of an array that contains a token, trying the tokens in order."""
-    tries = [F.get(F.filter(names, lambda n, t=t: F.contains(F.lower(n), F.lit(t.lower()))), F.lit(0)) for t in tokens]
-    return F.coalesce(*tries)
+    def holding(token: str) -> Column:
+        return F.get(F.filter(names, lambda n: F.contains(F.lower(n), F.lit(token.lower()))), F.lit(0))
+
+    return F.coalesce(*[holding(t) for t in tokens])
 
 
 def logistic(score: Column) -> Column:

@@ -58,14 +58,14 @@ def merge_components(
     # One aggregate replaces the chain of joins: rows meet on the sample id once.
     folded = tall.groupBy(on).agg(
         F.count("*").alias("_rows"),
-        F.countDistinct("component").alias("_components"),
         F.min("label").alias("label"), F.max("label").alias("_label_max"),
         F.min("x").alias("x"), F.max("x").alias("_x_max"),
         F.min("y").alias("y"), F.max("y").alias("_y_max"),
         *[F.max(F.when(F.col("component") == n, F.col("score"))).alias(f"score_{n}") for n in sides],
-    ).where(F.col("_components") == len(sides))
+        *[F.max(F.when(F.col("component") == n, 1)).alias(f"_has_{n}") for n in sides],
+    ).na.drop("any", subset=[f"_has_{n}" for n in sides])
     problems = F.array_compact(F.array(
-        F.when(F.col("_rows") > F.col("_components"), F.lit("duplicate")),
+        F.when(F.col("_rows") > len(sides), F.lit("duplicate")),
         F.when(F.col("label") != F.col("_label_max"), F.lit("label")),
         F.when((F.col("_x_max") - F.col("x") > COORDINATE_ATOL) | (F.col("_y_max") - F.col("y") > COORDINATE_ATOL), F.lit("coordinate")),
     ))

@@ -76,7 +76,7 @@ def prefix_totals(
         rows = largest_group(df, keys)
     if fits_window(df, rows):
         return _windowed(df, keys, order, sums, maxima, totals, position)
-    return _sliced(df, keys, order, sums, maxima, totals, position)
+    return _sliced(df, keys, order, sums, maxima, totals, position, rows)
 
 
 def _windowed(df, keys, order, sums, maxima, totals, position):
@@ -91,11 +91,22 @@ def _windowed(df, keys, order, sums, maxima, totals, position):
     return df.select("*", *[c.alias(name) for name, c in added.items()])
 
 
-def _sliced(df, keys, order, sums, maxima, totals, position):
+def slice_count(df: DataFrame, rows: int) -> int:
+    """Range slices for a largest group of ``rows``, which may be a third of the table.
+
+    Slices stream their running sums, so they may hold ten times a plain window.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_slice = 10 * int_conf(spark, WINDOW_ROWS_KEY, WINDOW_ROWS_DEFAULT)
+    return max(base, -(-3 * rows // per_slice)) if per_slice else base
+
+
+def _sliced(df, keys, order, sums, maxima, totals, position, rows):
     if position:
         sums = {**sums, position: F.lit(1).cast("bigint")}
     adders = {**sums, **totals}
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slice_count(df, rows)
     ranged = cut(
         df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
         .withColumn("_slice", F.spark_partition_id())

@@ -128,16 +128,14 @@ def inline_layer(zones: DataFrame) -> Callable[[Column, Column], Column] | None:
     small layer costs neither a join nor a shuffle of the points.
     """
     limit = int_conf(zones.sparkSession, INLINE_EDGES_KEY, INLINE_EDGES_DEFAULT)
-    n = F.size("edges")
-    rows = with_edges(zones).select(
-        "zone_id", n.alias("n"), F.when(n <= limit, F.col("edges")).alias("edges")
-    ).limit(limit + 1).collect()
+    n = F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r) - 1)
+    rows = zones.select("zone_id", n.alias("n"), F.when(n <= limit, F.col("rings")).alias("rings")).limit(limit + 1).collect()
     if sum(r["n"] for r in rows) > limit or len(rows) > limit or not rows:
         return None
     rows.sort(key=lambda r: r["zone_id"])
     ids = np.array([r["zone_id"] for r in rows], dtype=np.int64)
     starts = np.cumsum([0] + [r["n"] for r in rows[:-1]])
-    table = np.array([[e.x1, e.y1, e.x2, e.y2, e.turn] for r in rows for e in r["edges"]], dtype=float)
+    table = np.concatenate([_ring_edges(ring) for r in rows for ring in r["rings"]])
 
     @F.pandas_udf(POSITION)
     def position(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -151,6 +149,13 @@ def inline_layer(zones: DataFrame) -> Callable[[Column, Column], Column] | None:
     return position
 
 
+def _ring_edges(ring) -> np.ndarray:
+    """x1, y1, x2, y2 and the turn of a closed ring, one row per edge."""
+    p = np.array([(v["x"], v["y"]) for v in ring], dtype=float)
+    area = (p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum()
+    return np.column_stack([p[:-1], p[1:], np.full(len(p) - 1, -1.0 if area < 0 else 1.0)])
+
+
 def _positions(xs, ys, table, starts, ids):
     """Interior, touch, distance and first zone of a block of points against all edges at once."""
     x1, y1, x2, y2, turn = table.T

@@ -200,18 +200,37 @@ def jarque_bera(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return out.select("*", F.exp(-F.col("statistic") / 2.0).alias("p_value"))
 
 
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) count of a uniform, by inverting the distribution."""
+    weight, term, total = F.lit(0), math.exp(-1.0), 0.0
+    for count in range(1, 19):
+        total += term
+        term /= count
+        weight = F.when(u >= total, count).otherwise(weight)
+    return weight
+
+
 def bootstrap_mean_ci(
-    df: DataFrame, keys: Sequence[str], value: str, row_id: str, *, draws: int = 10_000, seed: int = 2026
+    df: DataFrame, keys: Sequence[str], value: str, row_id: str, *, draws: int = 10_000, seed: int = 2026,
+    resample_rows: int = 10_000,
 ) -> DataFrame:
     """Percentile interval (2.5 %, 97.5 %) of the mean over resamples with replacement.
 
     Draws are addressed by hash, so a replicate needs one equi join on
-    (group, position) and no shared random state.
+    (group, position) and no shared random state. When a group exceeds
+    ``resample_rows``, every row instead gets a hashed Poisson(1) count per
+    replicate: the sums combine map-side and no draw is ever shuffled.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, row_id, F.col(value).alias("_x"))
+    base = data.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
+    if largest_group(data, keys) > resample_rows:
+        spread = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+        w = poisson_weight(uniform(seed, "poisson", *[F.col(k) for k in keys], F.col("_rep"), F.col(row_id)))
+        sums = spread.withColumn("_w", w).groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_mean"))
+        return base.join(exact_quantiles(sums, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws), keys)
     placed = prefix_totals(
-        data, keys, [F.col(row_id).asc()], totals={"_n": F.lit(1).cast("bigint")}, position="_at"
+        data, keys, [F.col(row_id).asc()], totals={"_n": F.lit(1).cast("bigint")}, position="_at", rows=resample_rows
     )
     named = [F.col(k) for k in keys]
     slots = placed.select(*keys, "_n", F.col("_at").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
@@ -224,7 +243,6 @@ def bootstrap_mean_ci(
     drawn = picks.alias("p").join(placed.alias("v"), match).select(*[F.col(f"p.{k}") for k in keys], "p._rep", "v._x")
     means = drawn.groupBy(*keys, "_rep").agg(F.avg("_x").alias("_mean"))
     bounds = exact_quantiles(means, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws)
-    base = data.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
     return base.join(bounds, keys)
 
 

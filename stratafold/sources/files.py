@@ -13,7 +13,7 @@ def hash_table(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder, hashed on the executors."""
+    """(path, bytes, sha256) of every non-empty file below a folder, hashed on the executors."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return hash_table(raw.select("path", "content"))
 

@@ -69,7 +69,8 @@ def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
     grid = F.when(F.col("split_mode") == "spatial_block", F.col("grid_size")).otherwise(missing)
     wide = raw.select(
         grid.alias("grid_size"), pick("min_x", 0), pick("min_y", 1), pick("max_x", 2), pick("max_y", 3), F.explode("partitions").alias("partition", "blocks"))
-    return wide.select("partition", F.explode("blocks").cast("bigint").alias("block_id"), "grid_size", "min_x", "min_y", "max_x", "max_y")
+    flat = wide.withColumn("block_id", F.explode("blocks"))
+    return flat.select("partition", F.col("block_id").cast("bigint").alias("block_id"), "grid_size", "min_x", "min_y", "max_x", "max_y")
 
 
 def coordinate_keys(frame: DataFrame) -> DataFrame:
