@@ -39,11 +39,11 @@ def int_list(text: Column) -> Column:
 
 
 def string_list(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(_items(text), F.lower)))
+    return F.array_sort(F.array_distinct(F.transform(_items(text), lambda t: F.lower(t))))
 
 
 def _items(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def to_number(value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from stratafold.functions.keys import uniform
 from stratafold.operators.ordering import exact_quantiles, largest_group, prefix_totals
 from stratafold.operators.ranking import average_ranks
+from stratafold.session import cut
 
 # Differences this close to zero count as no difference (fixed value).
 ZERO_ATOL = 1e-8
@@ -44,12 +45,14 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 
 def holm(df: DataFrame, keys: Sequence[str], p: str, row_id: str, out: str = "p_holm") -> DataFrame:
     """Step-down adjusted p per family; missing p stay missing and do not count."""
+    df = cut(df)  # one row per test, read several times below
     present = df.where(F.col(p).isNotNull())
+    rows = largest_group(present, keys)
     placed = prefix_totals(
-        present, keys, [F.col(p).asc(), F.col(row_id).asc()], totals={"_m": F.lit(1).cast("bigint")}, position="_r"
+        present, keys, [F.col(p).asc(), F.col(row_id).asc()], totals={"_m": F.lit(1).cast("bigint")}, position="_r", rows=rows
     ).withColumn("_raw", F.least(F.lit(1.0), (F.col("_m") - F.col("_r") + 1) * F.col(p)))
     adjusted = prefix_totals(
-        placed, keys, [F.col(p).asc(), F.col(row_id).asc()], maxima={out: F.col("_raw")}
+        placed, keys, [F.col(p).asc(), F.col(row_id).asc()], maxima={out: F.col("_raw")}, rows=rows
     ).drop("_m", "_r", "_raw")
     missing = df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     return adjusted.unionByName(missing)
@@ -75,15 +78,16 @@ def difference_summary(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return base.join(quart, list(keys))
 
 
-def signed_ranks(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, size, ties, rank, plus, minus) per distinct nonzero |diff|, average ranks."""
+def signed_ranks(diffs: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """(keys, size, ties, plus, minus, rank, all_n) per distinct nonzero |diff|, average ranks."""
     keys = list(keys)
-    nonzero = diffs.where(F.col("diff") != 0).withColumn("size", F.abs("diff"))
-    ranks = average_ranks(nonzero, keys, "size")
-    signs = nonzero.groupBy(*keys, "size").agg(
-        F.count_if(F.col("diff") > 0).alias("plus"), F.count_if(F.col("diff") < 0).alias("minus")
-    )
-    return ranks.join(signs, [*keys, "size"])
+    if rows is None:
+        rows = largest_group(diffs, keys)
+    folded = diffs.where(F.col("diff") != 0).groupBy(*keys, F.abs("diff").alias("size")).agg(
+        F.count("*").alias("ties"), F.count_if(F.col("diff") > 0).alias("plus"), F.count_if(F.col("diff") < 0).alias("minus"))
+    placed = prefix_totals(
+        folded, keys, [F.col("size").asc()], sums={"_upto": F.col("ties")}, totals={"all_n": F.col("ties")}, rows=rows)
+    return placed.withColumn("rank", F.col("_upto") - (F.col("ties") - 1) / F.lit(2.0)).drop("_upto")
 
 
 def rank_biserial(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -120,14 +124,16 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], mode: str = "auto") -> DataF
     tie-corrected normal approximation.
     """
     keys = list(keys)
-    ranked = signed_ranks(diffs, keys)
     n = F.col("_n")
-    sums = ranked.groupBy(*keys).agg(
+    # Only comparisons of at most 50 differences gather their rank list.
+    doubled = F.array_repeat((F.col("rank") * 2).cast("int"), F.col("ties").cast("int"))
+    sums = signed_ranks(diffs, keys).groupBy(*keys).agg(
         F.sum("ties").alias("_n"),
         F.sum(F.col("rank") * F.col("plus")).alias("_up"),
         F.sum(F.col("rank") * F.col("minus")).alias("_down"),
         F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_tie"),
         F.max("ties").alias("_most"),
+        F.flatten(F.collect_list(F.when(F.col("all_n") <= EXACT_LIMIT, doubled))).alias("_ranks"),
     )
     general = diffs.groupBy(*keys).agg(
         F.count("diff").alias("n"),
@@ -137,14 +143,7 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], mode: str = "auto") -> DataF
     exact = n <= EXACT_LIMIT
     if mode == "auto":
         exact = exact & (F.col("_most") == 1) & (F.col("_zeros") == 0)
-    both = general.join(sums, keys, "left").withColumn("_exact", F.coalesce(exact, F.lit(False)))
-    # Only comparisons of at most 50 differences carry their rank list.
-    few = both.where(F.col("_exact")).select(*keys)
-    lists = (
-        ranked.join(few, keys, "left_semi").groupBy(*keys)
-        .agg(F.flatten(F.collect_list(F.array_repeat((F.col("rank") * 2).cast("int"), F.col("ties").cast("int")))).alias("_ranks"))
-    )
-    full = both.join(lists, keys, "left")
+    full = general.join(sums, keys, "left").withColumn("_exact", F.coalesce(exact, F.lit(False)))
     low = F.least("_up", "_down")
     counts = _sign_counts(F.col("_ranks"))
     below = F.aggregate(F.slice(F.col("_counts"), 1, (low * 2).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)

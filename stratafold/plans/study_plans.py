@@ -433,7 +433,7 @@ def model_rows(spark, folder):
 @plan("rf_scores")
 def rf_scores(spark, folder):
     data = model_rows(spark, folder)
-    model = models.fit_tree(data.where("train"), MODEL_COLUMNS, "rf", SEED, {"numTrees": 20, "maxDepth": 8})
+    model = models.fit_tree(data.where("train"), MODEL_COLUMNS, "rf", SEED, {"numTrees": 10, "maxDepth": 6})
     scored = models.score_tree(model, data.where("not train"), MODEL_COLUMNS)
     return ranking.ranking_metrics(scored, [], "probability", "label")
 
@@ -455,7 +455,7 @@ def net_rows(data):
 @plan("prior_mlp_scores")
 def prior_mlp_scores(spark, folder):
     data = net_rows(model_rows(spark, folder))
-    net = models.train_net(data.where("train"), data.where("not train"), models.preset("prior_mlp", epochs=4))
+    net = models.train_net(data.where("train"), data.where("not train"), models.preset("prior_mlp", epochs=3))
     return ranking.ranking_metrics(models.score_net(net, data.where("not train")), [], "probability", "label")
 
 
