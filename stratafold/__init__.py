@@ -1 +1,8 @@
 """Spatial sampling, scoring and benchmark analysis as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Batch functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
