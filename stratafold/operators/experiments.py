@@ -75,6 +75,11 @@ def ledger_status(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def merge_ledger(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ledger after a batch of runs: new entries replace old ones with the same keys."""
+    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
 def finished(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("status").isin(*DONE))
 

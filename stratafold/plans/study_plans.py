@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratafold.functions import geodesy, keys, text
 from stratafold.operators import audit, ensemble, experiments, features, models, neighbours, polygons, ranking, scoring, splits
+from stratafold.operators import rasters as layers
+from stratafold.operators.draws import replace_training_negatives
 from stratafold.operators.ordering import prefix_totals
 from stratafold.plans.metric_plans import RANKED, RUN, metrics, r6
 from stratafold.plans.spatial_plans import NAMES, raster_meta
@@ -407,7 +411,6 @@ def algorithm_labels(spark, folder):
 @plan("streamed_moments", with_views("""+z AS (SELECT 1) SELECT CAST(event_id % 500 AS BIGINT) AS cell, count(value) AS members, round(avg(value / 500.0), 9) AS mean, round(coalesce(stddev_samp(value / 500.0), 0), 9) AS std FROM events GROUP BY event_id % 500""", "v_zone"))
 def streamed_moments(spark, folder):
     """Moments per cell over the event file as a stream, run to the end of what has arrived."""
-    import uuid
     schema = table(spark, folder, "events").schema
     stream = moments.read_members(spark, f"{folder}/events.parque[t]", schema)
     state = moments.running_moments(
@@ -492,7 +495,6 @@ def shapley_importance(spark, folder):
 def raster_scoring(spark, folder):
     """Forest fitted at the points, applied to every covered cell inside the study rectangle."""
     pixels, meta = view(spark, folder, "v_pixel"), raster_meta(spark)
-    from stratafold.operators import rasters as layers
     train = layers.feature_matrix(view(spark, folder, "v_point"), pixels, meta, "id", NAMES)
     fitted = features.fit_preprocessor(train, NAMES)
     model = models.fit_tree(fitted.transform(train), list(fitted.kept), "rf", SEED, {"numTrees": 10, "maxDepth": 5})
@@ -501,11 +503,23 @@ def raster_scoring(spark, folder):
     return scoring.score_raster(pixels, meta, NAMES, fitted, score, area).select("r", "c", *r6("probability"))
 
 
+@plan("neighbour_raster_scoring")
+def neighbour_raster_scoring(spark, folder):
+    """Neighbour network trained at the points and applied to every covered cell."""
+    pixels, meta = view(spark, folder, "v_pixel"), raster_meta(spark)
+    points = layers.covered(layers.feature_matrix(view(spark, folder, "v_point"), pixels, meta, "id", NAMES), NAMES).where("covered")
+    fitted = features.fit_preprocessor(points, NAMES)
+    known = cut(fitted.transform(points).select("id", "x", "y", "label", *fitted.kept))
+    joined = scoring.neighbour_features(known, known, fitted.kept, K, cell_id="id").join(known.select("id", "label"), "id")
+    rows = cut(joined.withColumn("priors", F.array().cast("array<double>")))
+    net = models.train_net(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), models.preset("ego", epochs=2))
+    return scoring.score_neighbour_raster(pixels, meta, NAMES, fitted, known, net).select("r", "c", *r6("probability"))
+
+
 @plan("replaced_negatives", with_views("""+p AS (SELECT id, label, 'S' || id AS sample_id, x, y FROM v_point), t AS (SELECT *, row_number() OVER (ORDER BY id) AS pick FROM p WHERE label = 0 AND id % 2 = 0)
  SELECT id, label, 'NM' || printf('%08d', pick - 1) AS sample_id, x + 0.5 AS x, y + 0.5 AS y FROM t UNION ALL SELECT id, label, sample_id, x, y FROM p WHERE NOT (label = 0 AND id % 2 = 0)""", "v_point"))
 def replaced_negatives(spark, folder):
     """Training negatives swapped position by position; every other row is unchanged."""
-    from stratafold.operators.draws import replace_training_negatives
     base = view(spark, folder, "v_point").select("id", "label", F.concat(F.lit("S"), F.col("id").cast("string")).alias("sample_id"), "x", "y")
     swap = (F.col("label") == 0) & (F.col("id") % 2 == 0)
     fresh = prefix_totals(base.where(swap), [], [F.col("id").asc()], position="pick").select("label", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"), "pick")

@@ -304,3 +304,22 @@ def test_streamed_moments_over_arriving_files(spark, tmp_path):
         values = [0.1 * m for m in range(member + 1)]
         want = np.std(values, ddof=1) if member else 0.0
         assert seen[(0, 0)] == (member + 1, pytest.approx(np.mean(values)), pytest.approx(want))
+
+
+def test_ledger_merge(spark):
+    old = spark.createDataFrame([(0, "failed"), (1, "completed")], "run int, status string")
+    new = spark.createDataFrame([(0, "completed"), (2, "failed")], "run int, status string")
+    merged = experiments.merge_ledger(old, new, ["run"])
+    assert sorted(tuple(r) for r in merged.collect()) == [(0, "completed"), (1, "completed"), (2, "failed")]
+
+
+def test_neighbour_features_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    known = [(i, float(x), float(y), float(v)) for i, (x, y, v) in enumerate(rng.random((60, 3)))]
+    cells = [(1000 + i, float(x), float(y), 0.5) for i, (x, y) in enumerate(rng.random((20, 2)))]
+    got = scoring.neighbour_features(
+        spark.createDataFrame(cells, "cell long, x double, y double, f double"), spark.createDataFrame(known, "id long, x double, y double, f double"), ["f"], 3)
+    for r in got.collect():
+        _, cx, cy, own = cells[r["cell"] - 1000]
+        near = sorted(known, key=lambda p: math.hypot(p[1] - cx, p[2] - cy))[:3]
+        assert r["features"] == [own, pytest.approx(np.mean([p[3] for p in near]))]
