@@ -39,3 +39,9 @@ def partitions(spark: SparkSession) -> int:
 
 def ddl(columns: Iterable[tuple[str, str]]) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in columns)
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast if the bytes of its rows, summed first, are few; else left to the optimizer."""
+    size = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
