@@ -6,7 +6,7 @@ that pass the base rules. A document goes when its Jensen-Shannon distance to a
 length: short texts scatter more, so the limit widens with 1/sqrt(size), and below a least size a histogram is not
 judged at all.
 
-Languages with fewer than ``min_docs`` passing documents or less than a thousandth of them (so at most a thousand
+Languages with fewer than ``min_docs`` passing documents or less than a thousandth of all documents (so at most a thousand
 references exist, whatever the corpus) are held against the reference of all languages; NULL is a language of its own.
 
 Edge cases: NULL and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged one by
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.common import text_bytes
 
-CLASSES = ("lower", "upper", "digit", "other_letter", "space", "line", "stop", "emphasis", "symbol", "control")
+CLASSES = ("plain", "upper", "other_letter", "space", "line", "stop", "emphasis", "symbol", "control")
 SYMBOLS = b"#*$%&|<>"
+SHARE_STEPS = 500
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,12 @@ class Limits:
 
 
 def _class_table() -> np.ndarray:
-    """Class of each byte; continuation bytes count nowhere (last bin)."""
+    """Class of each byte; continuation bytes count nowhere (last bin).
+
+    Digits count with the small letters: a number or a key in a short clean text is no sign of noise.
+    """
     out = np.full(256, CLASSES.index("stop"))
-    for lo, hi, name in ((97, 122, "lower"), (65, 90, "upper"), (48, 57, "digit"), (0, 31, "control"), (192, 255, "other_letter")):
+    for lo, hi, name in ((97, 122, "plain"), (48, 57, "plain"), (65, 90, "upper"), (0, 31, "control"), (192, 255, "other_letter")):
         out[lo:hi + 1] = CLASSES.index(name)
     out[[32, 9]] = CLASSES.index("space")
     out[[10, 11, 12, 13]] = CLASSES.index("line")
@@ -118,39 +122,43 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, f"{kept}, {extra}")
 
 
-def reference_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, kind, key, n over the documents that pass the base rules, summed per batch before the shuffle.
+def reference_counts(docs: DataFrame, numbers: dict[str | None, int], text: str, lang: str) -> DataFrame:
+    """code, kind, key, n over the documents that pass the base rules, summed per batch before the shuffle.
 
-    Kind ``word`` counts occurrences of a word; ``docs`` and ``words`` are totals; ``c0``, ``c1``... count the documents
-    whose share of that character class, in thousandths, is the key.
+    ``code`` is the language's number in ``numbers``, else -1; code -2 sums all (so a word has at most 1002 rows). Kind ``word`` counts occurrences of a word; ``docs`` and
+    ``words`` are totals; ``c0``, ``c1``... count the documents whose share of a character class, in steps of 1/500, is the key.
     """
-    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("code", pa.int32()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            per_lang: dict[str | None, tuple[Counter, Counter]] = {}
-            for code, value in zip(batch.column("lang").to_pylist(), batch.column("_bytes")):
+            by_code: dict[int, tuple[Counter, Counter]] = {}
+            for name, value in zip(batch.column("lang").to_pylist(), batch.column("_bytes")):
                 raw = value.as_py()
                 n_words, _, _, _, repeated, chars = base_counts(raw)
                 if fails_base(n_words, repeated):
                     continue
-                words, other = per_lang.setdefault(code, (Counter(), Counter()))
+                words, other = by_code.setdefault(numbers.get(name, -1), (Counter(), Counter()))
                 plain = raw.translate(PLAIN).split()
                 words.update(plain)
                 other["docs", b""] += 1
                 other["words", b""] += len(plain)
-                for i, x in enumerate(np.rint(1000 * chars / chars.sum()).astype(int).tolist()):
+                for i, x in enumerate(np.rint(SHARE_STEPS * chars / chars.sum()).astype(int).tolist()):
                     other[f"c{i}", b"%d" % x] += 1
-            for code, (words, other) in per_lang.items():
+            for code, (words, other) in by_code.items():
                 kinds = ["word"] * len(words) + [k for k, _ in other]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([code] * len(kinds), pa.string()), pa.array(kinds, pa.string()),
+                    [pa.array([code] * len(kinds), pa.int32()), pa.array(kinds, pa.string()),
                      pa.array([*words, *(k for _, k in other)], pa.binary()), pa.array([*words.values(), *other.values()], pa.int64())],
                     schema=schema)
 
     source = docs.select(F.col(lang).cast("string").alias("lang"), text_bytes(text).alias("_bytes"))
-    parts = source.mapInArrow(run, "lang string, kind string, key binary, n bigint")
-    return parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    parts = source.mapInArrow(run, "code int, kind string, key binary, n bigint")
+    # Dealt by word once, both sums follow without a further shuffle.
+    own = parts.repartition("kind", "key").groupBy("kind", "key", "code").agg(F.sum("n").alias("n"))
+    listed = own.groupBy("kind", "key").agg(F.collect_list(F.struct("code", "n")).alias("own"), F.sum("n").alias("n"))
+    both = F.concat("own", F.array(F.struct(F.lit(-2).alias("code"), F.col("n"))))
+    return listed.select("kind", "key", F.explode(both).alias("c")).select("c.code", "kind", "key", "c.n")
 
 
 @dataclass
@@ -166,37 +174,34 @@ def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str =
     A class share is the median over documents, so that odd ones do not move it. At most a thousand languages have a
     reference (each holds a thousandth of the documents), so what the driver holds is bounded.
     """
-    own = reference_counts(docs, text, lang)
-    whole = own.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = own.select(F.lit(False).alias("pooled"), "lang", "kind", "key", "n").unionByName(
-        whole.select(F.lit(True).alias("pooled"), F.lit(None).cast("string").alias("lang"), "kind", "key", "n"))
-    group = Window.partitionBy("pooled", "lang", "kind")
-    words = counts.where(F.col("kind") == "word").withColumn("place", F.row_number().over(group.orderBy(F.desc("n"), "key")))
-    words = words.where(F.col("place") <= limits.common_words)
-    shares = counts.where(F.col("kind").startswith("c")).withColumn("at", F.col("key").cast("string").cast("bigint"))
-    # At most 1001 rows a group, each a sum over documents.
-    shares = shares.withColumn("below", F.sum("n").over(group.orderBy("at"))).withColumn("all", F.sum("n").over(group))
-    shares = shares.where(2 * F.col("below") >= F.col("all")).groupBy("pooled", "lang", "kind").agg(F.min("at").alias("n"))
-    totals = counts.where(F.col("kind").isin("docs", "words"))
-    sizes = counts.where(F.col("kind") == "docs").select("pooled", F.col("lang").alias("_l"), F.col("n").alias("_docs"))
-    corpus = whole.where(F.col("kind") == "docs").select(F.col("n").alias("_corpus"))
-    large = sizes.crossJoin(corpus).where(  # the right side is one row
-        F.col("pooled") | (F.col("_docs") >= F.greatest(F.lit(limits.min_docs), F.ceil(F.col("_corpus") / 1000))))
-    large = large.select(F.col("pooled").alias("_p"), "_l")
-    columns = ["pooled", "lang", "kind", "key", "n"]
-    found = words.select(*columns).unionByName(shares.select("pooled", "lang", "kind", F.lit(None).cast("binary").alias("key"), "n")).unionByName(totals.select(*columns))
-    found = found.join(large, (F.col("pooled") == F.col("_p")) & F.col("lang").eqNullSafe(F.col("_l")), "left_semi")
-    by_group: dict = {}
-    for r in found.collect():  # at most (1000 + 1) x (common words + classes + 2) rows
-        by_group.setdefault((r["pooled"], r["lang"]), []).append(r)
+    sizes = docs.groupBy(F.col(lang).cast("string").alias("lang")).count()
+    corpus = sizes.agg(F.sum("count")).first()[0] or 0
+    least = max(limits.min_docs, -(-corpus // 1000))
+    large = [r["lang"] for r in sizes.where(F.col("count") >= least).collect()]  # at most a thousand rows
+    counts = reference_counts(docs, {name: i for i, name in enumerate(large)}, text, lang)
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.desc("n"), "key")))
+    # A class has at most 501 shares, so this limit is one of the words alone. Tasks apply it before the shuffle.
+    found = ranked.where((F.col("place") <= max(SHARE_STEPS + 1, limits.common_words)) & (F.col("code") != -1))
+    by_code: dict = {}
+    for r in found.where((F.col("kind") != "word") | (F.col("place") <= limits.common_words)).collect():
+        by_code.setdefault(r["code"], []).append(r)
     out = {}
-    for key, rows in by_group.items():
-        common = sorted(((r["n"], bytes(r["key"])) for r in rows if r["kind"] == "word"), key=lambda x: (-x[0], x[1]))
-        single = {r["kind"]: r["n"] for r in rows if r["kind"] != "word"}
-        held, total = np.array([n for n, _ in common], float), max(single["words"], 1)
-        share = np.array([single[f"c{i}"] for i in range(len(CLASSES))], float)
+    for code, rows in by_code.items():
+        common = [(r["n"], bytes(r["key"])) for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == "word"]
+        total = max(next(r["n"] for r in rows if r["kind"] == "words"), 1)
+        held = np.array([n for n, _ in common], float)
+        share = np.zeros(len(CLASSES))
+        for i in range(len(CLASSES)):
+            seen = sorted((int(r["key"]), r["n"]) for r in rows if r["kind"] == f"c{i}")
+            below = np.cumsum([n for _, n in seen])
+            share[i] = seen[int(np.searchsorted(below, below[-1] / 2))][0]
+        key = (True, None) if code == -2 else (False, large[code])
         out[key] = Reference({w: i for i, (_, w) in enumerate(common)}, np.append(held, total - held.sum()) / total, share / max(share.sum(), 1))
-    return out
+    return {k: r for k, r in out.items() if k[0] or _documents(by_code[large.index(k[1])]) >= limits.min_docs}
+
+
+def _documents(rows) -> int:
+    return sum(r["n"] for r in rows if r["kind"] == "docs")
 
 
 def apply_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
