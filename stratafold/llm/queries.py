@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import column_search, mixing, packing, quality_rules, secret_index
+from stratafold.llm import byte_ppm, column_search, mixing, packing, quality_rules, secret_index
 from stratafold.llm.common import table
 
 
@@ -19,6 +19,11 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return byte_ppm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -46,6 +51,7 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_window_packing": (pack, None),
     "op4_source_mixing": (mix, None),
+    "op5_byte_ppm": (likelihood, None),
     "op6_column_search": (nearest, column_search.SQL),
     "op7_quality_divergence": (quality, None),
     "op9_secret_index": (secrets, None),
