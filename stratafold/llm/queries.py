@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import byte_ppm, column_search, mixing, packing, quality_rules, secret_index
+from stratafold.llm import byte_ppm, column_search, mixing, packing, quality_rules, secret_index, toxic_segments
 from stratafold.llm.common import table
 
 
@@ -34,6 +34,15 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "class_distance", "word_distance", "kept")
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxic_segments.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxic_segments.apply_model(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         "evidence", F.size("segments").alias("n_segments"))
+
+
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_index.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in secret_index.BASE_RULES]))
@@ -54,5 +63,6 @@ QUERIES = {
     "op5_byte_ppm": (likelihood, None),
     "op6_column_search": (nearest, column_search.SQL),
     "op7_quality_divergence": (quality, None),
+    "op8_toxic_segments": (toxicity, None),
     "op9_secret_index": (secrets, None),
 }
