@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import byte_ppm, column_search, mixing, packing, quality_rules, secret_index, substring_dedup, toxic_segments
+from stratafold.llm import byte_ppm, collection_bwt, column_search, mixing, packing, quality_rules, secret_index, substring_dedup, toxic_segments
 from stratafold.llm.common import table
 from stratafold.llm.repeats import text_keys
 
@@ -15,6 +15,13 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = collection_bwt.find_repeats(docs)
+    found = found.select("k1", "k2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", *text_keys("text")).join(found, ["k1", "k2"]).drop("k1", "k2")
+
+
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = substring_dedup.find_repeats(docs)
@@ -66,6 +73,7 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_collection_bwt": (repeated_bytes, None),
     "op2_window_packing": (pack, None),
     "op3_seed_extend": (repeated_words, None),
     "op4_source_mixing": (mix, None),

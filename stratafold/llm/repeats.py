@@ -57,15 +57,16 @@ def gram_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
             rest >>= 1
             if not rest:
                 break
-            out = scrambled(out[:len(out) - done] * factor + out[done:])
+            out = out[:len(out) - done] * factor + out[done:]
+            factor = factor * MIX | np.uint64(1)
             done *= 2
         total, at = None, 0
         n = len(symbols) - size + 1
         for values, length in parts:
             own = values[at:at + n]
-            total = own.copy() if total is None else scrambled(total * factor + own)
+            total = own if total is None else total * factor + own
             at += length
-    return total
+        return scrambled(total)
 
 
 def anchored_runs(symbols: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
