@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import byte_ppm, collection_bwt, column_search, mixing, packing, quality_rules, secret_index, substring_dedup, toxic_segments
+from stratafold.llm import byte_ppm, chosen_path, collection_bwt, column_search, mixing, packing, quality_rules, secret_index, substring_dedup, toxic_segments
 from stratafold.llm.common import table
 from stratafold.llm.repeats import text_keys
 
@@ -72,6 +72,10 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES = {
     "op1_collection_bwt": (repeated_bytes, None),
     "op2_window_packing": (pack, None),
@@ -82,4 +86,5 @@ QUERIES = {
     "op7_quality_divergence": (quality, None),
     "op8_toxic_segments": (toxicity, None),
     "op9_secret_index": (secrets, None),
+    "op10_chosen_path": (near_join, None),
 }
