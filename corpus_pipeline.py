@@ -1,19 +1,61 @@
-"""Corpus preparation: each stage works on all its predecessor kept."""
+"""Corpus preparation in five stages, each over all that its predecessor kept.
+
+Quality rules drop what they reject; of each class of near duplicates the least document stays; secrets are masked in the
+texts; sources are mixed to their target weights, so documents are left out, repeated or cut to the words the mix takes;
+what remains is packed into training windows. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from stratafold.llm import quality_rules
+from stratafold.llm import chosen_path, mixing, packing, quality_rules, secret_index
+from stratafold.llm.repeats import text_keys
+from stratafold.session import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the columns of ``documents``."""
+    """Documents that the quality rules keep."""
     return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class: the one with the least id, of rows with that id the one with the least text hash."""
+    found = chosen_path.near_duplicates(docs)
+    order = Window.partitionBy("class_key").orderBy(F.col("doc_id").asc_nulls_last(), "k1", "k2")
+    chosen = found.withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("doc_id").alias("_id"), "k1", "k2")
+    picked = docs.withColumns(dict(zip(("k1", "k2"), text_keys("text")))).join(cut(chosen), ["k1", "k2"])
+    picked = picked.where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    repeated = Window.partitionBy("k1", "k2", "_id").orderBy("k1")  # rows equal in id and text
+    return picked.withColumn("_n", F.row_number().over(repeated)).where("_n = 1").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets masked and n_chars counted anew where that changed a text."""
+    masked = secret_index.redact(docs.withColumn("_before", F.col("text")))
+    count = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return masked.withColumn("n_chars", count).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix."""
+    return mixing.realize(mixing.mix(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # tokens, divergences and chosen paths are not SQL; tests/llm holds it against plain code
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,9 +197,9 @@ def score(
         part = part_of(distinct, parts)
         for p in range(parts):
             mine = part == p
-            emit(p, ASK_GRAMS, distinct[mine].tobytes(), None)
+            emit(p, ASK_GRAMS, _steps(distinct[mine]), None)
             mine &= learned > 0
-            emit(p, GRAMS, distinct[mine].tobytes(), learned[mine].astype(np.int64).tobytes())
+            emit(p, GRAMS, _steps(distinct[mine]), learned[mine].astype(np.int64).tobytes())
         seen: Counter = Counter()
         for w, out in zip(words, held):
             if not out:
@@ -225,7 +225,7 @@ def score(
                     now, trie, gathered, vocabulary = r["part"], None, [], {}
                     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if r["kind"] == GRAMS:
-                    gathered.append((np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int64)))
+                    gathered.append((_from_steps(r["keys"]), np.frombuffer(r["counts"], np.int64)))
                     if len(gathered) == 16:
                         keys, counts = _merge(keys, counts, gathered)
                 elif r["kind"] == WORDS:
@@ -237,7 +237,7 @@ def score(
                         trie = Trie(keys, counts, order, pairs)
                         tokens = sum(vocabulary.values())
                     if r["kind"] == ASK_GRAMS:
-                        values = trie.log10(np.frombuffer(r["keys"], np.int64))
+                        values = trie.log10(_from_steps(r["keys"]))
                     else:
                         values = np.array([len(vocabulary), tokens, *(vocabulary.get(w, 0) for w in _unlisted(r["keys"]))], np.int64)
                     yield pa.RecordBatch.from_pydict({
@@ -295,6 +295,15 @@ def _merge(keys: np.ndarray, counts: np.ndarray, gathered: list) -> tuple[np.nda
     return keys, counts
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    """Differences compress well on the wire."""
+    return np.diff(ascending, prepend=0).tobytes()
+
+
+def _from_steps(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.int64))
+
+
 def _vocabulary(words: list[list[bytes]]) -> list[bytes]:
     return sorted({b""}.union(*words))
 
