@@ -57,7 +57,7 @@ def blocks(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, rows:
                 number += 1
 
     def block(number: int, own: list) -> pa.RecordBatch:
-        matrix = np.array([v for _, _, v in own], "<i8").reshape(len(own), -1).T  # vertical
+        matrix = np.array([v for _, _, v in own], "<i8").reshape(len(own), len(own[0][2])).T  # vertical
         return pa.RecordBatch.from_pydict({
             "block": [number], "width": pa.array([len(matrix)], pa.int32()), "ids": [np.array([n for n, _, _ in own], "<i8").tobytes()],
             "queries": [np.array([q for _, q, _ in own], np.uint8).tobytes()], "matrix": [np.ascontiguousarray(matrix).tobytes()]})
@@ -162,7 +162,7 @@ def search(
         for batch in batches:
             for r in batch.to_pylist():
                 ids, home = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["home"], "<i8")
-                q, v = (np.frombuffer(r[x], "<i8").reshape(r["width"], -1) for x in ("asked", "matrix"))
+                q, v = (np.frombuffer(r[x], "<i8").reshape(r["width"], n) for x, n in (("asked", len(home)), ("matrix", len(ids))))
                 rows, _, values = best_pairs(q, home, v, r["block"], ids, k, np.full(len(home), LOWEST))
                 out = np.full(len(home), LOWEST)
                 last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else rows
@@ -179,7 +179,7 @@ def search(
         for batch in batches:
             for r in batch.to_pylist():
                 ids, home, names = (np.frombuffer(r[x], "<i8") for x in ("ids", "home", "query_ids"))
-                q, v = (np.frombuffer(r[x], "<i8").reshape(r["width"], -1) for x in ("asked", "matrix"))
+                q, v = (np.frombuffer(r[x], "<i8").reshape(r["width"], n) for x, n in (("asked", len(home)), ("matrix", len(ids))))
                 bar = np.full(len(home), LOWEST) if r["least"] is None else np.frombuffer(r["least"])
                 rows, cols, values = best_pairs(q, home, v, r["block"], ids, k, bar)
                 yield pa.RecordBatch.from_pydict({"home": home[rows], "query_id": names[rows], "vec_id": ids[cols], "place": r["block"] << 20 | cols, "score": values})
