@@ -4,7 +4,7 @@
    the others by weight until none is above.
 2. Blocks of ``block_words`` words are dealt to sources by the highest quotients target / (2 seats + 1), then each
    source's blocks to its shards by words. A shard is a hash bucket of bounded size, so no source, however large, meets
-   in one task. What a source's whole number of blocks leaves over or lacks (under a block) its largest shard evens out.
+   in one task. What whole blocks and caps leave over or lack of a target its largest shards with room even out.
 3. A shard's documents, in seeded order, form one stream of words. Whole passes over the stream come first, the rest is
    a seeded choice among its blocks, ``passes`` and ``pieces`` say what a document gives.
 
@@ -93,10 +93,15 @@ def mix(
     shards = placed.groupBy("source_no", "_shard").agg(F.sum("size").alias("_words"))
     shards = shards.join(goals.select("source_no", "quota", F.col("target").alias("_goal")), "source_no")
     shards = apportion(shards, ["source_no"], "_shard", "_words", "quota", "_won")
-    largest = F.row_number().over(Window.partitionBy("source_no").orderBy(F.desc("_words"), "_shard")) == 1
-    wanted = F.col("_won") * block_words
-    rest = F.round(F.col("_goal")).cast("bigint") - F.col("quota") * block_words
-    shards = shards.withColumn("_take", F.least(F.greatest(wanted + F.when(largest, rest).otherwise(0), F.lit(0)), repeat_cap * F.col("_words")))
+    # What blocks and caps leave over or lack is added to, or taken from, the largest shards that have room.
+    shards = shards.withColumn("_base", F.least(F.col("_won") * block_words, repeat_cap * F.col("_words")))
+    by_size = Window.partitionBy("source_no").orderBy(F.desc("_words"), "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    lack = F.round(F.col("_goal")).cast("bigint") - F.sum("_base").over(Window.partitionBy("source_no"))
+    room = repeat_cap * F.col("_words") - F.col("_base")
+    shards = shards.withColumn("_lack", lack).withColumn("_room", F.when(F.col("_lack") > 0, room).otherwise(F.col("_base")))
+    met = F.coalesce(F.sum("_room").over(by_size), F.lit(0))
+    change = F.least(F.greatest(F.abs("_lack") - met, F.lit(0)), F.col("_room"))
+    shards = shards.withColumn("_take", F.col("_base") + F.signum("_lack").cast("bigint") * change)
     shards = shards.select("source_no", "_shard", "_words", "_take")
 
     stream = Window.partitionBy("source_no", "_shard").orderBy("_order", doc_id, "size")
@@ -105,6 +110,7 @@ def mix(
     words = F.greatest(F.col("_words"), F.lit(1))
     mixed = mixed.withColumn("_from", F.col("_to") - F.col("size")).withColumn("passes", F.floor(F.col("_take") / words).cast("bigint"))
     mixed = mixed.withColumn("_rest", F.col("_take") - F.col("passes") * F.col("_words"))
+    mixed = mixed.withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(0).cast("bigint"))
     mixed = mixed.withColumn("_whole", F.floor(F.col("_words") / block_words)).withColumn("_full", F.floor(F.col("_rest") / block_words))
     mixed = mixed.withColumn("_part", F.col("_rest") - F.col("_full") * block_words)
     draw = F.xxhash64(F.lit(seed), "source_no", "_shard")
