@@ -43,8 +43,8 @@ def threshold_metrics(
         F.count_if(real & ~hit).alias("fn"),
         F.count_if(real & hit).alias("tp"),
         F.count("*").alias("n"),
-        F.avg((y - p) * (y - p)).alias("brier"),
-        F.avg(-(y * F.log(safe) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - safe))).alias("log_loss"),
+        F.avg((y - p) * (y - p)).alias("_brier"),
+        F.avg(-(y * F.log(safe) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - safe))).alias("_log_loss"),
     )
     tp, fp, fn, tn, n = (F.col(c) for c in ("tp", "fp", "fn", "tn", "n"))
     precision, recall, specificity = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tn, tn + fp)
@@ -64,7 +64,9 @@ def threshold_metrics(
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ((recall + specificity) / present).alias("balanced_accuracy"),
         mcc.alias("mcc"),
-        "brier", "log_loss",
+        # Undefined for a run with one class only.
+        F.when((tp + fn > 0) & (tn + fp > 0), F.col("_brier")).alias("brier"),
+        F.when((tp + fn > 0) & (tn + fp > 0), F.col("_log_loss")).alias("log_loss"),
     )
 
 

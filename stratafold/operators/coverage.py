@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.ordering import exact_quantiles, largest_group
+from stratafold.operators.ordering import exact_quantiles, join_groups, largest_group
 
 # Quantiles of a distribution row (fixed values).
 SUMMARY_PROBS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -17,7 +17,7 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str) -> Data
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    return base.join(exact_quantiles(df, keys, value, SUMMARY_PROBS, rows=largest_group(df, keys)), list(keys))
+    return join_groups(base, exact_quantiles(df, keys, value, SUMMARY_PROBS, rows=largest_group(df, keys)), list(keys))
 
 
 def coverage_summary(df: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:

@@ -135,9 +135,15 @@ def replace_training_negatives(
     """Swap the rows selected by ``replaceable`` for new samples, position by position; all others stay as they are.
 
     ``replacements`` needs ``pick`` counting from 1; the two sides meet by an
-    equi join on the position.
+    equi join on the position. A slot without replacement, a replacement
+    without slot or a position given twice is an error.
     """
     keep = base.where(~replaceable)
     slots = prefix_totals(base.where(replaceable).select(row_id), [], [F.col(row_id).asc()], position="pick")
+    pairs = slots.select("pick", F.lit(1).alias("_slot")).join(
+        replacements.groupBy("pick").agg(F.count("*").alias("_given")), "pick", "full_outer")
+    odd = pairs.where(F.col("_slot").isNull() | F.col("_given").isNull() | (F.col("_given") > 1)).count()
+    if odd:
+        raise ValueError(f"{odd} positions do not have one slot and one replacement each")
     new = replacements.join(slots, "pick").withColumn("sample_id", F.format_string(f"{prefix}%08d", F.col("pick") - 1)).drop("pick")
     return keep.unionByName(new.select(*base.columns))

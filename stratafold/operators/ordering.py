@@ -52,6 +52,15 @@ def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
     return condition
 
 
+def join_groups(groups: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``groups`` with the columns of ``values``; NULL keys meet and groups without values keep NULLs."""
+    named = values.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in values.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return groups.join(named, condition, "left").drop(*[f"_key_{k}" for k in keys])
+
+
 def prefix_totals(
     df: DataFrame,
     keys: Sequence[str],

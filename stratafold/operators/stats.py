@@ -5,19 +5,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.functions.keys import uniform
-from stratafold.operators.ordering import exact_quantiles, largest_group, prefix_totals
+from stratafold.operators.ordering import exact_quantiles, join_groups, largest_group, prefix_totals
 from stratafold.operators.ranking import average_ranks
 from stratafold.session import cut
 
 # Differences this close to zero count as no difference (fixed value).
 ZERO_ATOL = 1e-8
-# Largest sample whose sign distribution is enumerated (fixed value).
+# Largest sample whose sign distribution the automatic mode takes (fixed value).
 EXACT_LIMIT = 50
 
 
@@ -75,7 +76,7 @@ def paired_differences(
 def difference_summary(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     base = diffs.groupBy(*keys).agg(F.count("diff").alias("n"), F.avg("diff").alias("mean_diff"))
     quart = exact_quantiles(diffs, keys, "diff", {"q1_diff": 0.25, "median_diff": 0.5, "q3_diff": 0.75})
-    return base.join(quart, list(keys))
+    return join_groups(base, quart, list(keys))
 
 
 def signed_ranks(diffs: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
@@ -102,30 +103,36 @@ def rank_biserial(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*keys, F.coalesce(effect, F.lit(0.0)).alias("rank_biserial"))
 
 
-def _sign_counts(doubled: Column) -> Column:
-    """Number of sign patterns per doubled rank sum, as an array of doubles (index = sum)."""
-    total = F.aggregate(doubled, F.lit(0), lambda a, r: a + r)
-    start = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+@F.pandas_udf(T.DoubleType())
+def sign_tail(doubled: pd.Series, low: pd.Series) -> pd.Series:
+    """Two-sided share of sign patterns whose doubled rank sum is at most ``low``.
 
-    def add(counts, rank):
-        return F.transform(
-            counts,
-            lambda c, i: c + F.when(i >= rank, F.get(counts, i - rank)).otherwise(F.lit(0.0)),
-        )
+    Shares are halved at every rank instead of counting patterns, so nothing overflows at any size.
+    """
+    def one(ranks, most):
+        if ranks is None or most is None or math.isnan(most):
+            return None
+        share = np.zeros(int(np.sum(ranks)) + 1)
+        share[0] = 1.0
+        for r in ranks:
+            half = share / 2
+            half[r:] += share[:len(share) - r] / 2
+            share = half
+        return min(1.0, 2.0 * float(share[:int(most) + 1].sum()))
 
-    return F.aggregate(doubled, start, add)
+    return pd.Series([one(r, m) for r, m in zip(doubled, low)], dtype="float64")
 
 
 def wilcoxon(diffs: DataFrame, keys: Sequence[str], mode: str = "auto") -> DataFrame:
     """Two-sided signed-rank test, zeros dropped; all-zero comparisons give (0, 1).
 
-    ``exact`` enumerates the signs over the ranks of up to 50 differences;
-    ``auto`` does so only without zeros and ties; everything else uses the
-    tie-corrected normal approximation.
+    ``exact`` takes the distribution over all signs at any size (a comparison's
+    ranks meet in one row); ``auto`` does so for up to 50 differences without
+    zeros and ties and else uses the tie-corrected normal approximation.
     """
     keys = list(keys)
     n = F.col("_n")
-    # Only comparisons of at most 50 differences gather their rank list.
+    gathered = F.lit(True) if mode == "exact" else F.col("all_n") <= EXACT_LIMIT
     doubled = F.array_repeat((F.col("rank") * 2).cast("int"), F.col("ties").cast("int"))
     sums = signed_ranks(diffs, keys).groupBy(*keys).agg(
         F.sum("ties").alias("_n"),
@@ -133,29 +140,27 @@ def wilcoxon(diffs: DataFrame, keys: Sequence[str], mode: str = "auto") -> DataF
         F.sum(F.col("rank") * F.col("minus")).alias("_down"),
         F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("_tie"),
         F.max("ties").alias("_most"),
-        F.flatten(F.collect_list(F.when(F.col("all_n") <= EXACT_LIMIT, doubled))).alias("_ranks"),
+        F.flatten(F.collect_list(F.when(gathered, doubled))).alias("_ranks"),
     )
     general = diffs.groupBy(*keys).agg(
         F.count("diff").alias("n"),
         F.count_if(F.col("diff") == 0).alias("_zeros"),
         F.coalesce(F.bool_and(F.abs("diff") <= ZERO_ATOL), F.lit(False)).alias("_flat"),
     )
-    exact = n <= EXACT_LIMIT
+    exact = n.isNotNull()
     if mode == "auto":
-        exact = exact & (F.col("_most") == 1) & (F.col("_zeros") == 0)
+        exact = (n <= EXACT_LIMIT) & (F.col("_most") == 1) & (F.col("_zeros") == 0)
     full = general.join(sums, keys, "left").withColumn("_exact", F.coalesce(exact, F.lit(False)))
     low = F.least("_up", "_down")
-    counts = _sign_counts(F.col("_ranks"))
-    below = F.aggregate(F.slice(F.col("_counts"), 1, (low * 2).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
     mean = n * (n + 1) / 4.0
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_tie") / 48.0)
     p = (
         F.when(F.col("_flat") | n.isNull(), F.lit(1.0))
-        .when(F.col("_exact"), F.least(F.lit(1.0), F.lit(2.0) * below / F.pow(F.lit(2.0), n)))
+        .when(F.col("_exact"), F.col("_tail"))
         .otherwise(F.col("_approx"))
     )
     statistic = F.when(F.col("_flat") | n.isNull(), F.lit(0.0)).otherwise(low)
-    staged = full.withColumn("_counts", F.when(F.col("_exact"), counts)).withColumn(
+    staged = full.withColumn("_tail", sign_tail(F.when(F.col("_exact"), F.col("_ranks")), F.when(F.col("_exact"), low * 2))).withColumn(
         "_approx", normal_two_sided((low - mean) / F.when(spread > 0, spread))
     )
     return staged.select(*keys, "n", statistic.alias("statistic"), p.alias("p_raw"))
@@ -199,50 +204,35 @@ def jarque_bera(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return out.select("*", F.exp(-F.col("statistic") / 2.0).alias("p_value"))
 
 
+# Cumulative shares of a Poisson(1) count from 0 to 17; a uniform's count is the number of them at or below it.
+POISSON_STEPS = [sum(math.exp(-1.0) / math.factorial(k) for k in range(top + 1)) for top in range(18)]
+
+
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) count of a uniform, by inverting the distribution."""
-    weight, term, total = F.lit(0), math.exp(-1.0), 0.0
-    for count in range(1, 19):
-        total += term
-        term /= count
-        weight = F.when(u >= total, count).otherwise(weight)
+    weight = F.lit(0)
+    for count, step in enumerate(POISSON_STEPS, start=1):
+        weight = F.when(u >= step, count).otherwise(weight)
     return weight
 
 
 def bootstrap_mean_ci(
     df: DataFrame, keys: Sequence[str], value: str, row_id: str, *, draws: int = 10_000, seed: int = 2026,
-    resample_rows: int = 10_000,
 ) -> DataFrame:
     """Percentile interval (2.5 %, 97.5 %) of the mean over resamples with replacement.
 
-    Draws are addressed by hash, so a replicate needs one equi join on
-    (group, position) and no shared random state. When a group exceeds
-    ``resample_rows``, every row instead gets a hashed Poisson(1) count per
-    replicate: the sums combine map-side and no draw is ever shuffled.
+    At every size each row gets a hashed Poisson(1) count per replicate, so
+    sums combine map-side and no draw is shuffled or needs shared state; a
+    replicate without any row is left out. Groups without values have NULLs.
     """
     keys = list(keys)
-    data = df.where(F.col(value).isNotNull()).select(*keys, row_id, F.col(value).alias("_x"))
-    base = data.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"))
-    if largest_group(data, keys) > resample_rows:
-        spread = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
-        w = poisson_weight(uniform(seed, "poisson", *[F.col(k) for k in keys], F.col("_rep"), F.col(row_id)))
-        sums = spread.withColumn("_w", w).groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_mean"))
-        return base.join(exact_quantiles(sums, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws), keys)
-    placed = prefix_totals(
-        data, keys, [F.col(row_id).asc()], totals={"_n": F.lit(1).cast("bigint")}, position="_at", rows=resample_rows
-    )
-    named = [F.col(k) for k in keys]
-    slots = placed.select(*keys, "_n", F.col("_at").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
-    picks = slots.withColumn(
-        "_at", (F.floor(uniform(seed, "bootstrap", *named, F.col("_rep"), F.col("_slot")) * F.col("_n")) + 1).cast("bigint")
-    )
-    match = F.col("p._at") == F.col("v._at")
-    for key in keys:
-        match = match & F.col(f"p.{key}").eqNullSafe(F.col(f"v.{key}"))
-    drawn = picks.alias("p").join(placed.alias("v"), match).select(*[F.col(f"p.{k}") for k in keys], "p._rep", "v._x")
-    means = drawn.groupBy(*keys, "_rep").agg(F.avg("_x").alias("_mean"))
-    bounds = exact_quantiles(means, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws)
-    return base.join(bounds, keys)
+    data = df.select(*keys, row_id, F.col(value).alias("_x"))
+    base = data.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"))
+    spread = data.where(F.col("_x").isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+    w = poisson_weight(uniform(seed, "poisson", *[F.col(k) for k in keys], F.col("_rep"), F.col(row_id)))
+    sums = spread.withColumn("_w", w).groupBy(*keys, "_rep").agg(
+        (F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_mean"))
+    return join_groups(base, exact_quantiles(sums, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws), keys)
 
 
 def metric_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -253,4 +243,4 @@ def metric_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
     quart = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows=largest_group(df, keys))
-    return base.join(quart, list(keys))
+    return join_groups(base, quart, list(keys))

@@ -88,14 +88,20 @@ def confusion(spark, folder):
     return classify.confusion(view(spark, folder, "v_pred"), RUN, "probability", "label")
 
 
-@plan("threshold_metrics", with_views(CELLS + """ SELECT realiz, model, n, round((tp + fn) / n, 6) AS positive_ratio, round((tp + tn) / n, 6) AS accuracy,
+# A run with one class only, whose probability scores are undefined.
+FLAT = "SELECT id, 99 AS realiz, model, 0 AS label, probability FROM {t} WHERE realiz = 0"
+
+
+@plan("threshold_metrics", with_views("+pr AS (SELECT * FROM v_pred UNION ALL " + FLAT.format(t="v_pred") + "), " + CELLS[1:].replace("FROM v_pred", "FROM pr") + """ SELECT realiz, model, n, round((tp + fn) / n, 6) AS positive_ratio, round((tp + tn) / n, 6) AS accuracy,
  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
  round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / (CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END), 6) AS balanced_accuracy,
  round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE)) * sqrt(CAST(tp + fn AS DOUBLE)) * sqrt(CAST(tn + fp AS DOUBLE)) * sqrt(CAST(tn + fn AS DOUBLE)), 0), 0), 6) AS mcc,
- round(brier, 6) AS brier, round(log_loss, 6) AS log_loss FROM q""", "v_pred"))
+ CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN round(brier, 6) END AS brier, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN round(log_loss, 6) END AS log_loss FROM q""", "v_pred"))
 def threshold_metrics(spark, folder):
-    out = classify.threshold_metrics(view(spark, folder, "v_pred"), RUN, "probability", "label")
+    pred = view(spark, folder, "v_pred")
+    flat = spark.sql(FLAT.format(t="{pred}"), pred=pred)
+    out = classify.threshold_metrics(pred.unionByName(flat), RUN, "probability", "label")
     return out.select(*RUN, "n", *r6("positive_ratio", "accuracy", "precision", "recall", "f1", "balanced_accuracy", "mcc", "brier", "log_loss"))
 
 
@@ -227,7 +233,7 @@ def mean_weights(spark, folder):
         F.count("*").alias("runs"), *[F.round(F.avg(f"w_{p}"), 6).alias(f"w_{p}") for p in PARTS])
 
 
-LONG = RANKED + """, bs AS (SELECT realiz, model, avg((label - probability) * (label - probability)) AS brier FROM v_pred GROUP BY realiz, model),
+LONG = RANKED + """, bs AS (SELECT realiz, model, CASE WHEN max(label) > min(label) THEN avg((label - probability) * (label - probability)) END AS brier FROM v_pred GROUP BY realiz, model),
  lg AS (SELECT realiz, model, 'average_precision' AS metric, ap AS value FROM m UNION ALL SELECT realiz, model, 'roc_auc', auc FROM m UNION ALL SELECT realiz, model, 'brier', brier FROM bs)"""
 
 
@@ -316,13 +322,16 @@ def jarque_bera(spark, folder):
     return stats.jarque_bera(view(spark, folder, "v_metric"), ["model"], "metric").select("model", "n", *r6("statistic", "p_value"))
 
 
-@plan("bootstrap_ci", with_views("""+o AS (SELECT model, metric, row_number() OVER (PARTITION BY model ORDER BY realiz) AS pos, count(*) OVER (PARTITION BY model) AS n FROM v_metric),
- p AS (SELECT model, n, rep, pos AS slot, CAST(floor(('0x' || substr(md5('2026|bootstrap|' || model || '|' || rep || '|' || pos), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) * n) + 1 AS BIGINT) AS pick FROM o, range(200) AS t(rep)),
- d AS (SELECT p.model, rep, avg(o.metric) AS mean FROM p JOIN o ON o.model = p.model AND o.pos = p.pick GROUP BY p.model, rep),
+POISSON_CASE = "CASE " + " ".join(f"WHEN u >= CAST({step!r} AS DOUBLE) THEN {count}" for count, step in reversed(list(enumerate(stats.POISSON_STEPS, start=1)))) + " ELSE 0 END"
+
+
+@plan("bootstrap_ci", with_views(f"""+u AS (SELECT model, metric, rep, ('0x' || substr(md5('2026|poisson|' || model || '|' || rep || '|' || realiz), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) AS u FROM v_metric, range(10000) AS t(rep)),
+ w AS (SELECT *, {POISSON_CASE} AS w FROM u),
+ d AS (SELECT model, rep, sum(w * metric) / nullif(sum(w), 0) AS mean FROM w GROUP BY model, rep),
  q AS (SELECT model, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM d GROUP BY model)
  SELECT model, count(*) AS n, round(avg(metric), 6) AS mean, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high FROM v_metric JOIN q USING (model) GROUP BY model""", "v_metric"))
 def bootstrap_ci(spark, folder):
-    out = stats.bootstrap_mean_ci(view(spark, folder, "v_metric"), ["model"], "metric", "realiz", draws=200)
+    out = stats.bootstrap_mean_ci(view(spark, folder, "v_metric"), ["model"], "metric", "realiz")
     return out.select("model", "n", *r6("mean", "ci_low", "ci_high"))
 
 
@@ -352,10 +361,16 @@ def keyed_points(spark, folder):
     return view(spark, folder, "v_point").withColumn("key", point_key(F.col("x") % 1000, F.col("y") % 1000))
 
 
-@plan("distribution_summary", with_views("""+z AS (SELECT 1) SELECT realiz, count(score) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.05), 6) AS p05,
- round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.95), 6) AS p95, round(min(score), 6) AS min, round(max(score), 6) AS max FROM v_point GROUP BY realiz""", "v_point"))
+# One realization without any score, and one without a name.
+BLANK = "SELECT CAST(NULL AS DOUBLE) AS score, 77 AS realiz FROM {t} WHERE id % 50 = 0 UNION ALL SELECT score, CAST(NULL AS INT) AS realiz FROM {t} WHERE id % 50 = 0"
+
+
+@plan("distribution_summary", with_views("+pt AS (SELECT score, realiz FROM v_point UNION ALL " + BLANK.format(t="v_point") + """) SELECT realiz, count(score) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(quantile_cont(score, 0.05), 6) AS p05,
+ round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75, round(quantile_cont(score, 0.95), 6) AS p95, round(min(score), 6) AS min, round(max(score), 6) AS max FROM pt GROUP BY realiz""", "v_point"))
 def distribution_summary(spark, folder):
-    return coverage.distribution_summary(view(spark, folder, "v_point"), ["realiz"], "score").select(
+    points = view(spark, folder, "v_point")
+    blank = spark.sql(BLANK.format(t="{points}"), points=points)
+    return coverage.distribution_summary(points.select("score", "realiz").unionByName(blank), ["realiz"], "score").select(
         "realiz", "n", *r6("mean", "median", "p05", "p25", "p75", "p95", "min", "max"))
 
 

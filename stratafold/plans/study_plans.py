@@ -19,7 +19,7 @@ from stratafold.sources import files, rasters, vectors
 from stratafold.streaming import moments
 
 PLANS: dict = {}
-SEED, GRID, TRIALS = 2026, 5, 64
+SEED, GRID, TRIALS = 2026, 5, 256
 BOUNDS = (0.0, 0.0, 20020.0, 20020.0)
 
 
@@ -372,10 +372,11 @@ def squares(spark, folder):
         F.col("id").alias("zone_id"), (F.col("x") - 10).alias("x1"), (F.col("y") - 10).alias("y1"), (F.col("x") + 10).alias("x2"), (F.col("y") + 10).alias("y2")))
 
 
-@plan("feature_collection", with_views(SQUARES + " SELECT count(*) AS records_total, least(100, count(*)) AS features_returned, count(*) > 100 AS clipped, min(y1) AS south, min(x1) AS west, max(y2) AS north, max(x2) AS east, least(100, count(*)) AS listed FROM sq", "v_point"))
+@plan("feature_collection", with_views(SQUARES + """, al AS (SELECT count(*) AS records_total, min(y1) AS south, min(x1) AS west, max(y2) AS north, max(x2) AS east FROM sq)
+ SELECT zone_id, '{"type":"Feature","properties":{"fid":' || zone_id || '},"geometry":{"type":"Polygon","coordinates":[[[' || x1 || ',' || y1 || '],[' || x2 || ',' || y1 || '],[' || x2 || ',' || y2 || '],[' || x1 || ',' || y2 || '],[' || x1 || ',' || y1 || ']]]}}' AS feature,
+ records_total, south, west, north, east FROM sq, al""", "v_point"))
 def feature_collection(spark, folder):
-    out = vectors.feature_collection(squares(spark, folder), 100)
-    return out.withColumn("listed", F.size("features").cast("bigint")).drop("features")
+    return vectors.feature_collection(squares(spark, folder))
 
 
 @plan("layer_match", """WITH n AS (SELECT DISTINCT source || '_' || lang || '.tif' AS raster FROM documents) SELECT raster FROM n WHERE contains(raster[:-5], 'web') OR contains(raster[:-5], '_de')""")
@@ -421,32 +422,48 @@ def streamed_moments(spark, folder):
     return spark.table(name).select("cell", "members", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-# ---- models (rows only) -----------------------------------------------------
+# ---- models: what holds for every fit ---------------------------------------
 
 MODEL_COLUMNS = COLUMNS[:-1]
 
 
 def model_rows(spark, folder):
-    """Standardised line items; the partition follows the order key."""
-    data = lines(spark, folder)
+    """Standardised line items; the partition follows the order key: fit, choice of the round, test."""
+    data = lines(spark, folder).withColumn("test", (F.col("ok") * 7919) % 10 == 9)
     fitted = features.fit_preprocessor(data.where("train"), MODEL_COLUMNS)
     return fitted.transform(data)
 
 
-@plan("rf_scores")
+def score_checks(scored, keys=("label",)):
+    """Rows by class, whether every probability is one, and whether two ways to the ROC area agree."""
+    scored = cut(scored.select(*keys, "probability"))
+    curve = ranking.ranking_metrics(scored, [], "probability", "label").select("roc_auc")
+    folded = scored.groupBy("probability").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    below = prefix_totals(folded, [], [F.col("probability").asc()], sums={"upto": F.col("n") - F.col("pos")})
+    pairs = below.agg(
+        F.sum(F.col("pos") * (F.col("upto") - (F.col("n") - F.col("pos")) / 2.0)).alias("wins"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    agree = curve.join(F.broadcast(pairs)).select((F.abs(F.col("roc_auc") - F.col("wins") / (F.col("p") * F.col("q"))) < 1e-9).alias("areas_agree"))  # one row each
+    rows = scored.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("probability").between(0, 1) & F.col("probability").isNotNull()).alias("in_range"))
+    return rows.join(F.broadcast(agree))
+
+
+HELD = with_views(LINES + " SELECT label, count(*) AS rows, TRUE AS in_range, TRUE AS areas_agree FROM ln WHERE NOT train GROUP BY label", "v_zone")
+TESTED = with_views(LINES + " SELECT label, count(*) AS rows, TRUE AS in_range, TRUE AS areas_agree FROM ln WHERE (ok * 7919) % 10 = 9 GROUP BY label", "v_zone")
+
+
+@plan("rf_scores", HELD)
 def rf_scores(spark, folder):
     data = model_rows(spark, folder)
     model = models.fit_tree(data.where("train"), MODEL_COLUMNS, "rf", SEED, {"numTrees": 10, "maxDepth": 6})
-    scored = models.score_tree(model, data.where("not train"), MODEL_COLUMNS)
-    return ranking.ranking_metrics(scored, [], "probability", "label")
+    return score_checks(models.score_tree(model, data.where("not train"), MODEL_COLUMNS))
 
 
-@plan("gbt_scores")
+@plan("gbt_scores", HELD)
 def gbt_scores(spark, folder):
     data = model_rows(spark, folder)
     model = models.fit_tree(data.where("train"), MODEL_COLUMNS, "xgboost", SEED, {"maxIter": 10, "maxDepth": 4})
-    scored = models.score_tree(model, data.where("not train"), MODEL_COLUMNS)
-    return ranking.ranking_metrics(scored, [], "probability", "label")
+    return score_checks(models.score_tree(model, data.where("not train"), MODEL_COLUMNS))
 
 
 def net_rows(data):
@@ -455,14 +472,14 @@ def net_rows(data):
     return data.withColumn("features", F.array(*MODEL_COLUMNS)).withColumn("priors", prior)
 
 
-@plan("prior_mlp_scores")
+@plan("prior_mlp_scores", TESTED)
 def prior_mlp_scores(spark, folder):
     data = net_rows(model_rows(spark, folder))
-    net = models.train_net(data.where("train"), data.where("not train"), models.preset("prior_mlp", epochs=3))
-    return ranking.ranking_metrics(models.score_net(net, data.where("not train")), [], "probability", "label")
+    net = models.train_net(data.where("train"), data.where("not train and not test"), models.preset("prior_mlp", epochs=3))
+    return score_checks(models.score_net(net, data.where("test")))
 
 
-@plan("knn_mlp_scores")
+@plan("knn_mlp_scores", "SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, count(*) AS rows, TRUE AS in_range, TRUE AS areas_agree FROM embeddings WHERE vec_id % 10 = 5 GROUP BY ALL")
 def knn_mlp_scores(spark, folder):
     """Feature vectors extended by the mean of their neighbours, then the rectified network."""
     data = vectors_of(spark, folder).withColumn("train", F.col("id") % 5 != 0)
@@ -470,28 +487,39 @@ def knn_mlp_scores(spark, folder):
     means = neighbours.neighbour_mean(neighbours.knn_join(data, reference, K, payload="vec"), "id", "vec")
     joined = cut(neighbours.augmented(data, means, "id", "vec").join(data.select("id", "train", F.when(F.col("label") < 5, 1).otherwise(0).alias("label")), "id").withColumn(
         "priors", F.array().cast("array<double>")))
-    net = models.train_net(joined.where("train"), joined.where("not train"), models.preset("gnn", epochs=4))
-    return ranking.ranking_metrics(models.score_net(net, joined.where("not train")), [], "probability", "label")
+    test = F.col("id") % 10 == 5
+    net = models.train_net(joined.where("train"), joined.where(~F.col("train") & ~test), models.preset("gnn", epochs=4))
+    return score_checks(models.score_net(net, joined.where(test)))
 
 
-@plan("random_search")
+@plan("random_search", "SELECT CAST(trial AS INTEGER) AS trial, TRUE AS area_in_range FROM range(3) AS t(trial), (SELECT count(*) AS n FROM lineitem) WHERE n > 0")
 def random_search(spark, folder):
     data = model_rows(spark, folder)
     ranges = {"numTrees": (3, 8, False), "maxDepth": [3, 4, 5], "minInstancesPerNode": (1, 8, False)}
-    return models.random_search(data.where("train"), data.where("not train"), MODEL_COLUMNS, "rf", 3, SEED, ranges)
+    tried = models.random_search(data.where("train"), data.where("not train"), MODEL_COLUMNS, "rf", 3, SEED, ranges)
+    return tried.select("trial", F.col("val_roc_auc").between(0, 1).alias("area_in_range"))
 
 
-@plan("shapley_importance")
+@plan("shapley_importance", with_views(LINES + " SELECT feature, count(*) AS rows, TRUE AS in_range FROM ln, (VALUES " + ", ".join(f"('{c}')" for c in COLUMNS[:-1]) + ") AS f(feature) WHERE NOT train GROUP BY feature", "v_zone"))
 def shapley_importance(spark, folder):
     data = model_rows(spark, folder)
     model = models.fit_tree(data.where("train"), MODEL_COLUMNS, "rf", SEED, {"numTrees": 10, "maxDepth": 5})
     score = lambda df: models.score_tree(model, df, MODEL_COLUMNS)
     rows = prefix_totals(data.select(*MODEL_COLUMNS, "ok", "train"), [], [F.col("ok"), F.col("price"), F.col("quantity"), F.col("discount"), F.col("tax")], position="row")
     values = models.shapley_values(score, rows.where("train"), rows.where("not train"), MODEL_COLUMNS, "row", samples=20)
-    return models.importance(values).select("feature", *r6("mean_abs"))
+    return values.groupBy("feature").agg(F.count("value").alias("rows"), F.bool_and(F.col("value").between(-1, 1)).alias("in_range"))
+
+
+CELLS = """+cv AS (SELECT r, c FROM v_pixel WHERE raster IN ('acct', 'price') AND value <> -9999 GROUP BY r, c HAVING count(*) = 2)
+ SELECT count(*) AS cells, TRUE AS in_range FROM cv"""
+
+
+def cell_checks(scored):
+    """Cells with a probability (uncovered ones have none), and whether each is one."""
+    return scored.agg(F.count("probability").alias("cells"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range"))
 
 
-@plan("raster_scoring")
+@plan("raster_scoring", with_views(CELLS + " WHERE 500 * (c + 0.5) BETWEEN 0 AND 20000 AND 20000 - 500 * (r + 0.5) BETWEEN 0 AND 20000", "v_pixel"))
 def raster_scoring(spark, folder):
     """Forest fitted at the points, applied to every covered cell inside the study rectangle."""
     pixels, meta = view(spark, folder, "v_pixel"), raster_meta(spark)
@@ -500,10 +528,10 @@ def raster_scoring(spark, folder):
     model = models.fit_tree(fitted.transform(train), list(fitted.kept), "rf", SEED, {"numTrees": 10, "maxDepth": 5})
     area = polygons.rectangles(spark.sql("SELECT 1L AS zone_id, 0D AS x1, 0D AS y1, 20000D AS x2, 20000D AS y2"))
     score = lambda df: models.score_tree(model, df, list(fitted.kept))
-    return scoring.score_raster(pixels, meta, NAMES, fitted, score, area).select("r", "c", *r6("probability"))
+    return cell_checks(scoring.score_raster(pixels, meta, NAMES, fitted, score, area))
 
 
-@plan("neighbour_raster_scoring")
+@plan("neighbour_raster_scoring", with_views(CELLS, "v_pixel"))
 def neighbour_raster_scoring(spark, folder):
     """Neighbour network trained at the points and applied to every covered cell."""
     pixels, meta = view(spark, folder, "v_pixel"), raster_meta(spark)
@@ -513,7 +541,7 @@ def neighbour_raster_scoring(spark, folder):
     joined = scoring.neighbour_features(known, known, fitted.kept, K, cell_id="id").join(known.select("id", "label"), "id")
     rows = cut(joined.withColumn("priors", F.array().cast("array<double>")))
     net = models.train_net(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), models.preset("ego", epochs=2))
-    return scoring.score_neighbour_raster(pixels, meta, NAMES, fitted, known, net).select("r", "c", *r6("probability"))
+    return cell_checks(scoring.score_neighbour_raster(pixels, meta, NAMES, fitted, known, net))
 
 
 @plan("replaced_negatives", with_views("""+p AS (SELECT id, label, 'S' || id AS sample_id, x, y FROM v_point), t AS (SELECT *, row_number() OVER (ORDER BY id) AS pick FROM p WHERE label = 0 AND id % 2 = 0)

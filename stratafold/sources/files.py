@@ -13,9 +13,27 @@ def hash_table(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every non-empty file below a folder, hashed on the executors."""
+    """(path, bytes, sha256) of every file below a folder, hashed on the executors.
+
+    Spark's scan passes over empty files; their paths come from the file system's listing.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return hash_table(raw.select("path", "content"))
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, path)], "path string").withColumn("content", F.lit(b""))
+    return hash_table(raw.select("path", "content").unionByName(none))
+
+
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files without content below a folder, hidden ones left out as Spark leaves them out."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], system.listFiles(root, True)
+    while listed.hasNext():
+        item = listed.next()
+        name = item.getPath().getName()
+        if item.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append(item.getPath().toString())
+    return found
 
 
 def dataset_hashes(hashes: DataFrame) -> DataFrame:

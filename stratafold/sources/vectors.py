@@ -110,13 +110,8 @@ def write_points(frame: DataFrame, path: str, fmt: str = "parquet", partition_by
         raise ValueError(f"unknown vector format: {fmt}")
 
 
-def feature_collection(zones: DataFrame, cap: int, order: str = "zone_id") -> DataFrame:
-    """One row: records_total, features_returned, clipped, bounds of all records, first ``cap`` features as JSON.
-
-    The cap is the report size asked for; counts and bounds cover every record.
-    """
-    if cap < 1:
-        raise ValueError("the cap must be positive")
+def feature_collection(zones: DataFrame, order: str = "zone_id") -> DataFrame:
+    """Every record as one GeoJSON feature, beside the number and the bounds of all records."""
     points = F.flatten("rings")
     low = lambda c: F.array_min(F.transform(points, lambda p: p[c]))
     high = lambda c: F.array_max(F.transform(points, lambda p: p[c]))
@@ -127,9 +122,4 @@ def feature_collection(zones: DataFrame, cap: int, order: str = "zone_id") -> Da
     feature = F.to_json(F.struct(
         F.lit("Feature").alias("type"), F.struct(F.col(order).alias("fid")).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), shapes.alias("coordinates")).alias("geometry")))
-    first = zones.orderBy(order).limit(cap).select(F.struct(F.col(order).alias("k"), feature.alias("f")).alias("s"))
-    listed = first.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["f"]).alias("features"))
-    joined = whole.join(F.broadcast(listed))  # one row each
-    return joined.select(
-        "records_total", F.size("features").cast("bigint").alias("features_returned"),
-        (F.col("records_total") > F.size("features")).alias("clipped"), "south", "west", "north", "east", "features")
+    return zones.select(order, feature.alias("feature")).join(F.broadcast(whole))  # one row

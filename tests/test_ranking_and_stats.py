@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratafold.operators import classify, curves, ensemble, ordering, ranking, stats
+from stratafold.operators import classify, coverage, curves, ensemble, ordering, ranking, stats
 
 
 def frame(spark, rows, schema):
@@ -85,8 +85,35 @@ def test_bootstrap_is_deterministic_and_brackets_the_mean(spark):
     data = frame(spark, [("m", i, float(i)) for i in range(12)], "k string, id int, v double")
     one, two = (stats.bootstrap_mean_ci(data, ["k"], "v", "id", draws=300).first() for _ in range(2))
     assert one == two and one["ci_low"] < 5.5 < one["ci_high"]
-    large = stats.bootstrap_mean_ci(data, ["k"], "v", "id", draws=300, resample_rows=5).first()
-    assert large["ci_low"] == pytest.approx(one["ci_low"], abs=0.7) and large["ci_high"] == pytest.approx(one["ci_high"], abs=0.7)
+    spread = np.std(np.arange(12.0)) / math.sqrt(12)
+    assert one["ci_low"] == pytest.approx(5.5 - 1.96 * spread, abs=0.6) and one["ci_high"] == pytest.approx(5.5 + 1.96 * spread, abs=0.6)
+
+
+def test_exact_stays_exact_beyond_fifty(spark):
+    data = frame(spark, [("all", float(i + 1)) for i in range(60)], "k string, diff double")
+    assert stats.wilcoxon(data, ["k"], "exact").first()["p_raw"] == pytest.approx(2.0 ** -59, rel=1e-9)
+    mixed = [(-1) ** (i % 3) * (i + 1.0) for i in range(14)]
+    low = min(sum(abs(v) for v in mixed if v > 0), sum(abs(v) for v in mixed if v < 0))
+    sums = [sum(r + 1 for r in range(14) if mask >> r & 1) for mask in range(1 << 14)]
+    got = stats.wilcoxon(frame(spark, [("m", v) for v in mixed], "k string, diff double"), ["k"], "exact").first()
+    assert got["p_raw"] == pytest.approx(min(1.0, 2 * sum(s <= low for s in sums) / 2**14))
+
+
+def test_groups_without_values_stay(spark):
+    data = frame(spark, [("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0)], "k string, v double")
+    want = {"a": (2, 2.0), "b": (0, None), None: (1, 2.0)}
+    for table in (stats.metric_summary(data, ["k"], "v"), coverage.distribution_summary(data, ["k"], "v")):
+        assert {r["k"]: (r["n"], r["median"]) for r in table.collect()} == want
+    diffs = stats.difference_summary(data.withColumnRenamed("v", "diff"), ["k"])
+    assert {r["k"]: (r["n"], r["median_diff"]) for r in diffs.collect()} == want
+    bounds = {r["k"]: r["ci_low"] for r in stats.bootstrap_mean_ci(data.withColumn("i", F.lit(1)), ["k"], "v", "i", draws=50).collect()}
+    assert bounds["b"] is None and bounds[None] == 2.0
+
+
+def test_probability_scores_need_both_classes(spark):
+    data = frame(spark, [("one", 0, 0.2), ("one", 0, 0.4), ("two", 0, 0.2), ("two", 1, 0.8)], "k string, y int, p double")
+    got = {r["k"]: r for r in classify.threshold_metrics(data, ["k"], "p", "y").collect()}
+    assert got["one"]["brier"] is None and got["one"]["log_loss"] is None and got["two"]["brier"] == pytest.approx(0.04)
 
 
 def test_chi2_tail(spark):

@@ -201,3 +201,13 @@ def test_split_problems(spark):
     blocks = spark.createDataFrame([(0, "train"), (1, "test"), (1, "train")], "block_id long, partition string")
     problems = {(r["problem"], r["detail"]) for r in splits.split_problems(splits.assign_partitions(rows, blocks), blocks).collect()}
     assert ("block in several partitions", "1") in problems and ("block without partition", "9") in problems and ("partition with one class", "test") in problems
+
+
+def test_replacement_needs_one_sample_for_each_slot(spark):
+    base = spark.createDataFrame([(i, i % 2, f"S{i}") for i in range(8)], "id long, label int, sample_id string")
+    fresh = spark.createDataFrame([(0, p) for p in range(1, 5)], "label int, pick long")
+    out = draws.replace_training_negatives(base, fresh, F.col("label") == 0, row_id="id")
+    assert out.count() == 8 and out.where("sample_id LIKE 'NM%'").count() == 4
+    for wrong in (fresh.where("pick < 4"), fresh.unionByName(fresh.where("pick = 1"))):
+        with pytest.raises(ValueError):
+            draws.replace_training_negatives(base, wrong, F.col("label") == 0, row_id="id")

@@ -268,7 +268,14 @@ def test_hashes_and_owned_partitions(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.shp").write_bytes(b"abc")
     (tmp_path / "in" / "a.dbf").write_bytes(b"x")
+    before = files.hash_files(spark, str(tmp_path / "in"))
+    (tmp_path / "in" / "sub").mkdir()
+    (tmp_path / "in" / "sub" / "empty.txt").write_bytes(b"")
     hashes = files.hash_files(spark, str(tmp_path / "in"))
+    lone = hashes.where("bytes = 0").first()
+    assert lone["path"].endswith("sub/empty.txt") and lone["sha256"].startswith("e3b0c442")
+    assert [r["change"] for r in files.archive_changes(before, hashes).collect()] == ["added"]
+    hashes = hashes.where("bytes > 0")
     grouped = files.dataset_hashes(hashes).first()
     assert [f["suffix"] for f in grouped["files"]] == [".dbf", ".shp"]
     assert grouped["files"][1]["sha256"].startswith("ba7816bf")
