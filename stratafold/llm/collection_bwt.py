@@ -153,9 +153,9 @@ def solve_with(width: int, memory_bytes: int = 64 << 20):
     return solve
 
 
-def find_repeats(docs: DataFrame, width: int = 400, text: str = "text", batch_bytes: int = 512 << 10) -> DataFrame:
+def find_repeats(docs: DataFrame, width: int = 400, text: str = "text", batch_bytes: int = 512 << 10, most_contents: int = 20_000) -> DataFrame:
     """Each distinct text: k1, k2, n_bytes, n_removed, n_spans, ranges (of bytes, maximal, end exclusive), kept (its other bytes)."""
-    found = repeated_ranges(docs, byte_unit(width), solve_with(width), text, batch_bytes)
+    found = repeated_ranges(docs, byte_unit(width), solve_with(width), text, batch_bytes, most_contents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,8 @@ with one content repeats exactly if the content occurs twice; only where an anch
 each is cut from the texts and solved together by the operator's own method. Copies fold at every step: texts by hash
 (two 64-bit ones), runs within a batch, contents within an anchor.
 
-What a group holds is the distinct contents of one anchor, not its occurrences.
+What a group holds is the distinct contents of one anchor, not its occurrences. An anchor with more than ``most_contents``
+of them (a common phrase in as many surroundings) is not gathered at all: its windows are counted by 128-bit hash.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
 Solve = Callable[[list[tuple[int, int, int, bytes]]], list[list[tuple[int, int]]]]
 
 
-def repeated_ranges(docs: DataFrame, unit: Unit, solve: Solve, text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, unit: Unit, solve: Solve, text: str = "text", batch_bytes: int = 8 << 20, most_contents: int = 20_000) -> DataFrame:
     """k1, k2, raw, ranges: each distinct text with the symbol ranges (end exclusive) that repeated windows cover.
 
     ``solve`` gets, for whole anchor groups, (group number, copies, windows, content) and returns for each the ranges of
@@ -185,9 +186,17 @@ def repeated_ranges(docs: DataFrame, unit: Unit, solve: Solve, text: str = "text
         if rows:
             yield out()
 
+    # Counted on what is persisted; hardly ever is there any.
+    crowded = examples.groupBy("anchor").count().where(F.col("count") > most_contents).select("anchor")
+    counted = None
+    if not crowded.isEmpty():
+        counted = window_counts(pieces.join(crowded, "anchor", "left_semi"), unit)
+        pieces = pieces.join(crowded, "anchor", "left_anti")
     parts = 4 * partitions(docs.sparkSession)
     solved = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(settle, f"anchor bigint, content bigint, ranges {RANGES}")
     solved = solved.where(F.size("ranges") > 0)
+    if counted is not None:
+        solved = solved.unionByName(counted)
     marked = several.select("anchor", "content", "k1", "k2", "start").join(solved, ["anchor", "content"]).select("k1", "k2", "start", "ranges")
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("first"), (F.col("windows") - 1 + unit.width).alias("last")))
     single = candidates.where(~F.col("several")).select("k1", "k2", "start", whole.alias("ranges"))
@@ -199,6 +208,25 @@ def repeated_ranges(docs: DataFrame, unit: Unit, solve: Solve, text: str = "text
         "k1", "k2", "raw", F.coalesce("ranges", F.array().cast(RANGES)).alias("ranges"))
 
 
+def window_counts(pieces: DataFrame, unit: Unit) -> DataFrame:
+    """anchor, content, ranges: every window of the pieces on its own, counted by its hash and partly summed before the shuffle."""
+    names = ["anchor", "content", "n", "first", "h1", "h2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                symbols = unit.symbols(row["piece"])
+                one, two = (gram_hashes(x, unit.width).view(np.int64) for x in (symbols, scrambled(symbols.astype(np.uint64) + np.uint64(99))))
+                size = len(one)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, row[k]), pa.int64()) for k in names[:3]] + [pa.array(x, pa.int64()) for x in (np.arange(size), one, two)], names=names)
+
+    windows = pieces.select("anchor", "content", "n", "piece").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    found = windows.join(often, ["h1", "h2"])
+    return found.groupBy("anchor", "content").agg(  # at most a run's windows
+        F.collect_list(F.struct("first", (F.col("first") + unit.width).alias("last"))).alias("ranges"))
+
+
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching ranges as one, ascending."""
     out: list[list[int]] = []

@@ -87,9 +87,9 @@ def _lead(numbers: np.ndarray, width: int, anchor: int) -> int:
     return int(anchored_runs(numbers, width, anchor)[3][0])
 
 
-def find_repeats(docs: DataFrame, width: int = 35, text: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, width: int = 35, text: str = "text", most_contents: int = 20_000) -> DataFrame:
     """Each distinct text: k1, k2, n_words, n_removed, ranges (of words, maximal, end exclusive), kept (its other words, joined by one blank)."""
-    found = repeated_ranges(docs, word_unit(width), extend(width), text)
+    found = repeated_ranges(docs, word_unit(width), extend(width), text, most_contents=most_contents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

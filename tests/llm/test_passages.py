@@ -29,10 +29,10 @@ def results(docs, found, columns):
     return sorted(map(tuple, keyed.join(found, ["k1", "k2"]).select("doc_id", *columns).collect()), key=repr)
 
 
-@pytest.mark.parametrize("width", [7, 35])
-def test_words(make_docs, awkward, width):
+@pytest.mark.parametrize("width, most", [(7, 20_000), (35, 20_000), (7, 1)])
+def test_words(make_docs, awkward, width, most):
     docs = make_docs(awkward)
-    found = substring_dedup.find_repeats(docs, width)
+    found = substring_dedup.find_repeats(docs, width, most_contents=most)
     words = [(r[1] or "").encode().split() for r in awkward]
     want = []
     for (i, _), w, flags in zip(awkward, words, covered(words, width)):
@@ -41,11 +41,11 @@ def test_words(make_docs, awkward, width):
     assert results(docs, found, ["n_words", "n_removed", "kept"]) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("width", [40, 400])
-def test_bytes(make_docs, awkward, width):
+@pytest.mark.parametrize("width, most", [(40, 20_000), (400, 20_000), (40, 1)])
+def test_bytes(make_docs, awkward, width, most):
     rows = [r for r in awkward if r[0] != 42]
     docs = make_docs(rows)
-    found = collection_bwt.find_repeats(docs, width).withColumn("sha", F.sha2("kept", 256))
+    found = collection_bwt.find_repeats(docs, width, most_contents=most).withColumn("sha", F.sha2("kept", 256))
     texts = [(r[1] or "").encode() for r in rows]
     want = []
     for (i, _), t, flags in zip(rows, texts, covered(texts, width)):
