@@ -65,30 +65,43 @@ def with_edges(zones: DataFrame) -> DataFrame:
     )
 
 
+def _level(extent: Column) -> Column:
+    """Cell size as an even power of two at or above an extent: few different sizes, at most three cells an extent."""
+    return (2 * F.ceil(F.log2(F.greatest(extent, F.lit(1e-6))) / 2)).cast("int")
+
+
 def _cells(level: Column, lo: Column, hi: Column) -> Column:
     size = F.pow(F.lit(2.0), level)
     return F.sequence(F.floor(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint"))
 
 
 def bands(zones: DataFrame, pad: float = 0.0) -> DataFrame:
-    """(zone_id, bounds, edges, level, cx, cy): at most 3 x 3 cells per band."""
+    """(zone_id, bounds, edges, level_x, level_y, cx, cy): bands of about 64 edges, at most 3 x 3 cells each.
+
+    Cells are as wide as the zone but only as high as the band, so a point's
+    cell holds a handful of a zone's bands however many it has. Edges are
+    dealt to the bands they reach one by one; no band scans all edges.
+    """
     base = with_edges(zones).withColumn("n_bands", F.ceil(F.size("edges") / F.lit(EDGES_PER_BAND)).cast("int"))
-    height = (F.col("max_y") - F.col("min_y")) / F.col("n_bands")
-    split = base.select("*", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)).alias("band"))
-    lo = F.col("min_y") + height * F.col("band")
-    hi = F.when(F.col("band") == F.col("n_bands") - 1, F.col("max_y")).otherwise(F.col("min_y") + height * (F.col("band") + 1))
-    split = split.withColumn("lo", lo - pad).withColumn("hi", hi + pad)
-    own = F.filter(
-        "edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("lo")) & (F.least(e["y1"], e["y2"]) <= F.col("hi"))
-    )
-    extent = F.greatest(F.col("max_x") - F.col("min_x") + 2 * pad, F.col("hi") - F.col("lo"), F.lit(1e-6))
-    out = split.select(
+    base = base.withColumn("height", (F.col("max_y") - F.col("min_y")) / F.col("n_bands"))
+    bounds = ["zone_id", "min_x", "min_y", "max_x", "max_y", "n_bands", "height"]
+    edges = base.select(*bounds, F.explode("edges").alias("e"))
+    place = lambda y: F.least(F.greatest(F.floor((y - F.col("min_y")) / F.col("height")), F.lit(0)), F.col("n_bands") - 1).cast("int")
+    # A band further on either side covers rounding at the borders; a flat zone has one band.
+    first = F.when(F.col("height") > 0, F.greatest(place(F.least("e.y1", "e.y2") - pad) - 1, F.lit(0))).otherwise(0)
+    last = F.when(F.col("height") > 0, F.least(place(F.greatest("e.y1", "e.y2") + pad) + 1, F.col("n_bands") - 1)).otherwise(F.col("n_bands") - 1)
+    dealt = edges.select("*", F.explode(F.sequence(first, last)).alias("band"))
+    lo = F.col("min_y") + F.col("height") * F.col("band")
+    hi = F.when(F.col("band") == F.col("n_bands") - 1, F.col("max_y")).otherwise(F.col("min_y") + F.col("height") * (F.col("band") + 1))
+    dealt = dealt.withColumn("lo", lo - pad).withColumn("hi", hi + pad)
+    dealt = dealt.where((F.greatest("e.y1", "e.y2") >= F.col("lo")) & (F.least("e.y1", "e.y2") <= F.col("hi")))
+    out = dealt.groupBy(*bounds, "band", "lo", "hi").agg(F.collect_list("e").alias("edges")).select(
         "zone_id", (F.col("min_x") - pad).alias("min_x"), (F.col("max_x") + pad).alias("max_x"),
-        "lo", "hi", (F.col("band") == F.col("n_bands") - 1).alias("top"), own.alias("edges"),
-        F.ceil(F.log2(extent)).cast("int").alias("level"),
+        "lo", "hi", (F.col("band") == F.col("n_bands") - 1).alias("top"), "edges",
+        _level(F.col("max_x") - F.col("min_x") + 2 * pad).alias("level_x"), _level(F.col("hi") - F.col("lo")).alias("level_y"),
     )
-    filed = out.select("*", F.explode(_cells(F.col("level"), F.col("min_x"), F.col("max_x"))).alias("cx"))
-    return filed.select("*", F.explode(_cells(F.col("level"), F.col("lo"), F.col("hi"))).alias("cy"))
+    filed = out.select("*", F.explode(_cells(F.col("level_x"), F.col("min_x"), F.col("max_x"))).alias("cx"))
+    return filed.select("*", F.explode(_cells(F.col("level_y"), F.col("lo"), F.col("hi"))).alias("cy"))
 
 
 def _edge_gap2(e: Column, px: Column, py: Column) -> Column:
@@ -193,19 +206,16 @@ def _crossings(edges: Column, px: Column, py: Column) -> Column:
 def candidates(points: DataFrame, zones: DataFrame, x: str = "x", y: str = "y", pad: float = 0.0) -> DataFrame:
     """Point columns plus (zone_id, inside, turns, gap2) for each zone whose padded box holds the point."""
     filed = bands(zones, pad)
-    # Levels present are few (one per power of two of the zone sizes).
-    levels = sorted(r[0] for r in filed.select("level").distinct().collect())
-    if not levels:
-        levels = [0]
+    # Sizes present are few (even powers of two of zone widths and band heights).
+    levels = sorted((r[0], r[1]) for r in filed.select("level_x", "level_y").distinct().collect()) or [(0, 0)]
     lookup = small_side(filed, F.size("edges") + 1)
     px, py = F.col(x), F.col(y)
-    placed = points.select("*", F.explode(F.array(*[F.lit(v) for v in levels])).alias("_level"))
-    size = F.pow(F.lit(2.0), F.col("_level"))
-    placed = placed.withColumn("_cx", F.floor(px / size).cast("bigint")).withColumn("_cy", F.floor(py / size).cast("bigint"))
-    joined = placed.join(
-        lookup.withColumnRenamed("level", "_level").withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy"),
-        ["_level", "_cx", "_cy"],
-    )
+    sizes = F.array(*[F.struct(F.lit(a).alias("level_x"), F.lit(b).alias("level_y")) for a, b in levels])
+    placed = points.select("*", F.explode(sizes).alias("_l")).select("*", F.col("_l.level_x").alias("_level_x"), F.col("_l.level_y").alias("_level_y")).drop("_l")
+    placed = placed.withColumn("_cx", F.floor(px / F.pow(F.lit(2.0), F.col("_level_x"))).cast("bigint"))
+    placed = placed.withColumn("_cy", F.floor(py / F.pow(F.lit(2.0), F.col("_level_y"))).cast("bigint"))
+    cell = ["level_x", "level_y", "cx", "cy"]
+    joined = placed.join(lookup.withColumnsRenamed({c: f"_{c}" for c in cell}), [f"_{c}" for c in cell])
     # Half-open bands, so that without padding a point meets one band of a zone.
     in_band = (py >= F.col("lo")) & ((py < F.col("hi")) | (F.col("top") & (py <= F.col("hi"))))
     if pad:

@@ -211,3 +211,22 @@ def test_replacement_needs_one_sample_for_each_slot(spark):
     for wrong in (fresh.where("pick < 4"), fresh.unionByName(fresh.where("pick = 1"))):
         with pytest.raises(ValueError):
             draws.replace_training_negatives(base, wrong, F.col("label") == 0, row_id="id")
+
+
+def test_many_edged_zones_meet_a_bounded_number_of_bands(spark, large_paths):
+    """Joined rows per point do not grow with the edges of a ring, and positions stay exact."""
+    rng = np.random.default_rng(3)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-120, 120, (400, 2)))]
+    frame = spark.createDataFrame(points, "id long, x double, y double")
+    met = []
+    for n in (640, 6400):
+        turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+        ring = [(100 * math.cos(t), 100 * math.sin(t)) for t in turn]
+        ring.append(ring[0])
+        zone = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], "zone_id long, rings array<array<struct<x:double,y:double>>>")
+        filed = polygons.bands(zone)
+        met.append(filed.groupBy("level_x", "level_y", "cx", "cy").count().agg(F.max("count")).first()[0])
+        got = {r["id"] for r in polygons.membership(frame, zone, "id").where("interior").collect()}
+        assert got == {i for i, x, y in points if math.hypot(x, y) < 100 * math.cos(math.pi / n)} | {
+            i for i, x, y in points if 100 * math.cos(math.pi / n) <= math.hypot(x, y) < 100 and i in got}
+    assert max(met) <= 9
