@@ -78,23 +78,23 @@ def lonlat_to_utm(lon, lat, zone, south) -> Column:
     )
 
 
+# A zone number with its hemisphere letter, as written after the word "zone" in CRS texts.
+ZONE_NAME = r"(?i)\bzone\W{0,3}0?([1-9]\d?)\W{0,2}([ns])\b"
+
+
 def utm_zone(crs_text) -> Column:
     """struct(zone, south) read from CRS text, NULL when absent or outside 1..60."""
-    text = as_col(crs_text)
-    first = r"(?i)UTM[_\s]*Zone[_\s]*(\d{1,2})\s*([NS])"
-    second = r"(?i)ZONE[_\s]*(\d{1,2})\s*([NS])"
-    pattern = lambda group: F.when(
-        text.rlike(first), F.regexp_extract(text, first, group)
-    ).otherwise(F.regexp_extract(text, second, group))
-    zone = F.when(text.rlike(second) | text.rlike(first), pattern(1)).try_cast("int")
-    return F.when(
-        zone.between(1, 60), F.struct(zone.alias("zone"), (F.upper(pattern(2)) == "S").alias("south"))
-    )
+    plain = F.replace(as_col(crs_text), F.lit("_"), F.lit(" "))
+    number, side = (F.nullif(F.regexp_extract(plain, ZONE_NAME, k), F.lit("")) for k in (1, 2))
+    zone = number.try_cast("int")
+    return F.when(zone.between(1, 60), F.struct(zone.alias("zone"), (F.lower(side) == "s").alias("south")))
 
 
 def plausible_lonlat(points: Column) -> Column:
-    """True when every vertex of an array of struct(x, y) could be degrees."""
-    return F.forall(points, lambda p: (F.abs(p["x"]) <= 180.0) & (F.abs(p["y"]) <= 90.0))
+    """True when an array of struct(x, y) has vertices and all of them could be degrees, up to rounding."""
+    slack = 1e-6
+    inside = F.forall(points, lambda p: (F.abs(p["x"]) <= 180.0 + slack) & (F.abs(p["y"]) <= 90.0 + slack))
+    return F.coalesce(F.size(points) > 0, F.lit(False)) & F.coalesce(inside, F.lit(False))
 
 
 def map_vertices(rings: Column, fn) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions.text import to_number
@@ -141,7 +141,7 @@ def evidence_checklist(items: DataFrame, keys: Sequence[str], verified: str) ->
 
 
 def best_prediction_file(files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best raster per job: predict folder and a name with prob score two points each, newest wins."""
+    """Best raster per job, newest first among equals. Folder and name words and their points are fixed values."""
     low = F.lower(F.replace(F.col("path"), F.lit("\\"), F.lit("/")))
     stem = F.regexp_extract(low, r"([^/]*)\.tiff?$", 1)
     score = F.when(low.contains("output/predict/"), 2).otherwise(0) + F.when(stem.contains("prob"), 2).otherwise(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratafold.functions import geodesy, keys, priors
+from stratafold.functions import geodesy, keys, priors, text
 from stratafold.operators import audit, draws, grids, polygons, rasters
 from stratafold.plans.metric_plans import r6
 from stratafold.plans.views import view, with_views
@@ -16,7 +16,7 @@ NAMES = ["acct", "price"]
 # Zones 0-7 are known deposits, 8-15 structures, 16-24 lithology in the fixture.
 GROUPS = {"mine": (0, 7), "structure": (8, 15), "lithology": (16, 24)}
 THIN, BLOCK, REALIZATIONS = 250.0, 2000.0, 3
-CONFIG = priors.SamplingConfig(thinning_cell_m=THIN, balance_block_m=BLOCK, realizations=REALIZATIONS)
+DESIGN = priors.DrawDesign(cell=THIN, block=BLOCK, draws=REALIZATIONS)
 
 
 def plan(name: str, sql: str | None = None):
@@ -108,9 +108,9 @@ def candidate_pool(spark, folder):
         "*", priors.sampling_prior(F.col("acct"), "dome").alias("p_dome"), priors.sampling_prior(F.col("price"), "fault").alias("p_fault"),
         priors.sampling_prior(F.col("zone_dist"), "strata").alias("p_strata"))
     scored = rasters.covered(scored, NAMES).withColumn("geo_score", priors.strongest(F.col("p_dome"), F.col("p_fault"), F.col("p_strata")))
-    eligible = F.col("covered") & F.col("geo_score").isNotNull() & (F.col("mine_dist") >= CONFIG.buffer_m)
+    eligible = F.col("covered") & F.col("geo_score").isNotNull() & (F.col("mine_dist") >= DESIGN.gap)
     return scored.withColumn("eligible", eligible).withColumn(
-        "stratum", priors.stratum(F.col("geo_score"), F.col("in_struct"), F.col("in_lith"), F.col("eligible"), CONFIG))
+        "stratum", priors.stratum(F.col("geo_score"), F.col("in_struct"), F.col("in_lith"), F.col("eligible"), DESIGN))
 
 
 @plan("prior_scores", with_views(POOL + """ SELECT id, round(p_dome, 6) AS p_dome, round(p_fault, 6) AS p_fault, round(p_strata, 6) AS p_strata, round(geo_score, 6) AS geo_score, round(coalesce(p_dome, 0), 6) AS t_dome FROM st""", *POOL_VIEWS))
@@ -119,6 +119,19 @@ def prior_scores(spark, folder):
     return pool.select("id", *r6("p_dome", "p_fault", "p_strata", "geo_score", "t_dome"))
 
 
+@plan("training_kernels", with_views("""+v AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE x / 10 END AS d FROM v_point), q AS (SELECT min(d) AS lo, max(d) AS hi FROM v WHERE id % 2 = 0)
+ SELECT id, round(coalesce(exp(-d * d / (2 * 1000.0 * 1000.0)), 0), 6) AS dome, round(coalesce(exp(-0.002 * d), 0), 6) AS fault, round(coalesce(exp(-d * d / (2 * 800.0 * 800.0)), 0), 6) AS strata,
+ round(CASE WHEN d IS NULL THEN 0 ELSE 1 - (greatest(lo, least(hi, d)) - lo) / (hi - lo) END, 6) AS singular, round(1 / (1 + exp(-(coalesce(d, 0) - 1000) / 100)), 6) AS logit FROM v, q""", "v_point"))
+def training_kernels(spark, folder):
+    """All training kernels of a distance that is sometimes missing, its singularity score, and a logistic score."""
+    rows = view(spark, folder, "v_point").select("id", F.when(F.col("id") % 7 != 0, F.col("x") / 10).alias("d"))
+    bounds = rows.where("id % 2 = 0").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    scored = rows.join(F.broadcast(bounds)).select(  # one row
+        "id", *[priors.training_prior(F.col("d"), k).alias(k) for k in ("dome", "fault", "strata")],
+        priors.singularity_score(F.col("d"), F.col("lo"), F.col("hi")).alias("singular"), text.logistic((F.coalesce("d", F.lit(0.0)) - 1000) / 100).alias("logit"))
+    return scored.select("id", *r6("dome", "fault", "strata", "singular", "logit"))
+
+
 @plan("geo_strata", with_views(POOL + " SELECT id, in_struct, in_lith, round(mine_dist, 6) AS mine_dist, eligible, stratum FROM st", *POOL_VIEWS))
 def geo_strata(spark, folder):
     return candidate_pool(spark, folder).select("id", "in_struct", "in_lith", *r6("mine_dist"), "eligible", "stratum")
@@ -132,7 +145,7 @@ HALF_EVEN = "CASE WHEN abs({v} - floor({v}) - 0.5) < 1e-9 THEN 2 * round(floor({
  SELECT realiz, total, hard, transition, total - hard - transition AS background FROM q""", "v_point"))
 def stratum_quotas(spark, folder):
     totals = view(spark, folder, "v_point").groupBy("realiz").agg(F.count("*").alias("total"))
-    return totals.select("realiz", "total", *[c.alias(n) for n, c in priors.quota_columns(F.col("total"), CONFIG).items()])
+    return totals.select("realiz", "total", *[c.alias(n) for n, c in priors.quota_columns(F.col("total"), DESIGN).items()])
 
 
 def hex52(text: str) -> str:
@@ -176,7 +189,8 @@ def eligible_pool(spark, folder):
 
 
 def fixture_quotas(pool):
-    return priors.quotas(max(1, pool.count() // 20), CONFIG)
+    total = F.lit(max(1, pool.count() // 20))
+    return pool.sparkSession.range(1).select(*[c.alias(n) for n, c in priors.quota_columns(total, DESIGN).items()]).first().asDict()
 
 
 @plan("spatial_cells", with_views(DRAW + " SELECT id, realiz, thin_id, block_id FROM cand", *POOL_VIEWS))
@@ -251,7 +265,7 @@ def pseudo_absences(spark, folder):
  UNION ALL SELECT realiz, 'unique thinning cells', dup_thin = 0, dup_thin FROM g
  UNION ALL SELECT realiz, 'minimum distance', coalesce(near >= 999.999999, true), round(near, 6) FROM g""", *POOL_VIEWS))
 def sample_validation(spark, folder):
-    out = audit.sample_checks(combined_samples(spark, folder), ["realiz"], minimum_distance=CONFIG.buffer_m)
+    out = audit.sample_checks(combined_samples(spark, folder), ["realiz"], minimum_distance=DESIGN.gap)
     return out.select("realiz", "check", "passed", *r6("observed"))
 
 

@@ -379,6 +379,91 @@ def feature_collection(spark, folder):
     return vectors.feature_collection(squares(spark, folder))
 
 
+@plan("lonlat_check", with_views("""+g AS (SELECT id, [x / 100, 180.0000005, x] AS xs FROM v_point), t AS (SELECT id, CASE id % 4 WHEN 0 THEN [] WHEN 1 THEN xs[1:1] WHEN 2 THEN xs[1:2] ELSE xs END AS xs FROM g)
+ SELECT len(xs) AS vertices, (len(xs) > 0 AND coalesce(list_max(list_transform(xs, lambda v: abs(v))) <= 180.000001, FALSE)) AS plausible, count(*) AS n FROM t GROUP BY ALL""", "v_point"))
+def lonlat_check(spark, folder):
+    vertex = lambda v: F.struct(v.alias("x"), F.lit(0.0).alias("y"))
+    every = F.array(vertex(F.col("x") / 100), vertex(F.lit(180.0000005)), vertex(F.col("x")))
+    rows = view(spark, folder, "v_point").select(F.slice(every, F.lit(1), (F.col("id") % 4).cast("int")).alias("p"))
+    return rows.groupBy(F.size("p").cast("bigint").alias("vertices"), geodesy.plausible_lonlat(F.col("p")).alias("plausible")).agg(F.count("*").alias("n"))
+
+
+@plan("list_settings", """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ' ,' ELSE '9, 3 ,' || (page_id % 5) || ', 9' END AS ints, 'b, A ,' || upper(url) || ',a' AS names FROM pages)
+ SELECT page_id, list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(ints, ','), lambda t: trim(t)), lambda t: t <> ''), lambda t: CAST(t AS INTEGER)))) AS ints,
+ list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(names, ','), lambda t: trim(t)), lambda t: t <> ''), lambda t: lower(t)))) AS names FROM p""")
+def list_settings(spark, folder):
+    """Comma lists of numbers and of names, blanks and repeats dropped."""
+    rows = table(spark, folder, "pages").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, " ,").otherwise(F.concat(F.lit("9, 3 ,"), (F.col("page_id") % 5).cast("string"), F.lit(", 9"))).alias("ints"),
+        F.concat(F.lit("b, A ,"), F.upper("url"), F.lit(",a")).alias("names"))
+    return rows.select("page_id", text.int_list(F.col("ints")).alias("ints"), text.string_list(F.col("names")).alias("names"))
+
+
+@plan("fixed_numbers", """WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN 'NaN' ELSE CAST(n_chars / 1000.0 AS VARCHAR) END AS v FROM documents),
+ n AS (SELECT doc_id, CASE WHEN isfinite(TRY_CAST(v AS DOUBLE)) THEN TRY_CAST(v AS DOUBLE) END AS v FROM s)
+ SELECT doc_id, v AS number, coalesce(printf('%.3f', v), '-') AS shown, coalesce(printf('%.1f', v * 100) || '%', '-') AS share FROM n""")
+def fixed_numbers(spark, folder):
+    """Numbers read from text, printed with fixed digits and as a share."""
+    v = F.when(F.col("doc_id") % 5 == 1, "none").when(F.col("doc_id") % 5 == 2, "NaN").when(F.col("doc_id") % 5 > 2, (F.col("n_chars") / 1000.0).cast("string"))
+    return table(spark, folder, "documents").select("doc_id", v.alias("v")).select(
+        "doc_id", text.to_number(F.col("v")).alias("number"), text.fixed(F.col("v"), 3).alias("shown"), text.percent(F.col("v"), 1).alias("share"))
+
+
+@plan("prediction_files", """WITH f AS (SELECT source AS job, CASE doc_id % 3 WHEN 0 THEN 'output/predict/' ELSE 'other/' END || CASE doc_id % 2 WHEN 0 THEN 'prob_' ELSE 'map_' END || doc_id || CASE doc_id % 5 WHEN 0 THEN '.png' ELSE '.tif' END AS path, n_chars AS modified FROM documents),
+ s AS (SELECT *, CASE WHEN contains(path, 'output/predict/') THEN 2 ELSE 0 END + CASE WHEN contains(path, 'prob_') THEN 2 ELSE 0 END AS score FROM f WHERE path LIKE '%.tif')
+ SELECT job, path FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY score DESC, modified DESC, path DESC) AS rn FROM s) WHERE rn = 1""")
+def prediction_files(spark, folder):
+    """The raster to show for each job."""
+    path = F.concat(
+        F.when(F.col("doc_id") % 3 == 0, "output/predict/").otherwise("other/"), F.when(F.col("doc_id") % 2 == 0, "prob_").otherwise("map_"),
+        F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 5 == 0, ".png").otherwise(".tif"))
+    found = table(spark, folder, "documents").select(F.col("source").alias("job"), path.alias("path"), F.col("n_chars").alias("modified"))
+    return experiments.best_prediction_file(found, ["job"])
+
+
+@plan("leading_features", "SELECT p_brand || '/' || p_size AS feature, round(avg(p_retailprice), 4) AS importance FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def leading_features(spark, folder):
+    """The ten features with the highest importance."""
+    rows = table(spark, folder, "part").groupBy(F.concat_ws("/", "p_brand", "p_size").alias("feature")).agg(F.round(F.avg("p_retailprice"), 4).alias("importance"))
+    return experiments.top_features(rows)
+
+
+@plan("constant_columns", """SELECT o_orderpriority AS run, count(DISTINCT o_orderstatus) AS o_orderstatus, count(DISTINCT left(o_orderpriority, 1)) AS level,
+ count(DISTINCT o_orderstatus) = 1 AND count(DISTINCT left(o_orderpriority, 1)) = 1 AS passed FROM orders GROUP BY 1""")
+def constant_columns(spark, folder):
+    """Columns that must hold one value in a run."""
+    rows = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("run"), "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("level"))
+    return audit.single_value(rows, ["run"], ["o_orderstatus", "level"])
+
+
+@plan("selection_protocols", """WITH r AS (SELECT c_custkey AS run, ['rf', 'gbt', 'mlp', 'gnn', 'odd'][CAST(c_custkey % 5 AS INTEGER) + 1] AS algorithm, CASE WHEN c_custkey % 7 = 0 THEN 'random' ELSE 'none' END AS optimizer,
+  CASE WHEN c_custkey % 11 = 0 THEN 'loss' ELSE 'pr_auc' END AS metric, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal END AS a, CASE WHEN c_custkey % 17 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS b FROM customer),
+ p AS (SELECT *, algorithm IN ('rf', 'gbt') AS tree, algorithm IN ('mlp', 'gnn') AS deep FROM r),
+ q AS (SELECT run, algorithm, tree, CASE WHEN tree AND optimizer <> 'none' THEN 'not a single fit' WHEN NOT tree AND NOT deep THEN 'unknown algorithm'
+  WHEN deep AND metric <> 'pr_auc' THEN 'not selected by validation average precision' WHEN deep AND a IS NULL THEN 'selection evidence is missing'
+  WHEN deep AND abs(a - b) > greatest(1e-12, 1e-9 * greatest(abs(a), abs(b))) THEN 'selected score differs from the validation score' END AS problem FROM p)
+ SELECT run, algorithm, problem, CASE WHEN problem IS NULL THEN CASE WHEN tree THEN 'single_fit_no_checkpoint' ELSE 'validation_pr_auc_checkpoint' END END AS protocol FROM q""")
+def selection_protocols(spark, folder):
+    """How each run was selected, or what is wrong with it."""
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(n) for n in ("rf", "gbt", "mlp", "gnn", "odd")])
+    metric = F.when(k % 11 == 0, "loss").otherwise("pr_auc")
+    runs = table(spark, folder, "customer").select(
+        k.alias("run"), F.get(names, (k % 5).cast("int")).alias("algorithm"), F.when(k % 7 == 0, "random").otherwise("none").alias("optimizer"),
+        metric.alias("configured_metric"), metric.alias("recorded_metric"), F.when(k % 13 != 0, F.col("c_acctbal")).alias("selected_score"),
+        F.when(k % 17 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("validation_ap"))
+    return audit.selection_protocol(runs, ["rf", "gbt"], ["mlp", "gnn"]).select("run", "algorithm", "problem", "protocol")
+
+
+@plan("changed_rows", """WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 70 <> 0)
+ SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def changed_rows(spark, folder):
+    """Rows that only one of two tables holds."""
+    a = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    b = a.where("o_orderkey % 70 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 50 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return audit.frame_difference(a, b, ["o_orderkey", "o_orderstatus"])
+
+
 @plan("layer_match", """WITH n AS (SELECT DISTINCT source || '_' || lang || '.tif' AS raster FROM documents) SELECT raster FROM n WHERE contains(raster[:-5], 'web') OR contains(raster[:-5], '_de')""")
 def layer_match(spark, folder):
     names = table(spark, folder, "documents").select(F.concat("source", F.lit("_"), "lang", F.lit(".tif")).alias("raster"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.functions.keys import point_key
 
 PREDICTIONS = (
     "row_index bigint, sample_id string, partition string, block_id bigint, label bigint, "
@@ -71,7 +70,3 @@ def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
         grid.alias("grid_size"), pick("min_x", 0), pick("min_y", 1), pick("max_x", 2), pick("max_y", 3), F.explode("partitions").alias("partition", "blocks"))
     flat = wide.withColumn("block_id", F.explode("blocks"))
     return flat.select("partition", F.col("block_id").cast("bigint").alias("block_id"), "grid_size", "min_x", "min_y", "max_x", "max_y")
-
-
-def coordinate_keys(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("key", point_key(F.col("x"), F.col("y")))

@@ -12,21 +12,22 @@ def box(spark, *boxes):
     return polygons.rectangles(spark.createDataFrame([(i, *map(float, b)) for i, b in enumerate(boxes)], "zone_id long, x1 double, y1 double, x2 double, y2 double"))
 
 
-def test_quotas():
-    config = priors.SamplingConfig()
-    assert priors.quotas(20, config) == {"hard": 14, "transition": 1, "background": 5}
-    wide = priors.SamplingConfig(hard_fraction=0.5, transition_fraction=0.05, background_fraction=0.45)
-    assert priors.quotas(27121, wide) == {"hard": 13560, "transition": 1356, "background": 12205}
-    mid = priors.SamplingConfig(hard_fraction=0.65, transition_fraction=0.05, background_fraction=0.30)
-    assert priors.quotas(27121, mid) == {"hard": 17629, "transition": 1356, "background": 8136}
-    with pytest.raises(ValueError):
-        priors.SamplingConfig(hard_fraction=0.9).validate()
+def test_quotas(spark):
+    # Shares, totals and rows of published designs (fixed values).
+    published = [((0.70, 0.05, 0.25), 20, (14, 1, 5)), ((0.50, 0.05, 0.45), 27121, (13560, 1356, 12205)), ((0.65, 0.05, 0.30), 27121, (17629, 1356, 8136))]
+    for shares, total, rows in published:
+        design = priors.DrawDesign(shares=dict(zip(priors.SHARES, shares)))
+        got = spark.range(1).select(*[c.alias(n) for n, c in priors.quota_columns(F.lit(total), design).items()]).first()
+        assert tuple(got) == rows and list(got.asDict()) == list(priors.SHARES)
+    for wrong in ({"shares": {"hard": 0.9, "background": 0.25}}, {"begins": {"hard": 0.2, "transition": 0.5}}, {"cell": 0.0}, {"draws": 0}):
+        with pytest.raises(ValueError):
+            priors.DrawDesign(**wrong)
 
 
 def test_strata(spark):
     rows = [(0.1, False, False, True), (0.3, False, False, True), (0.6, False, False, True), (0.1, True, False, True), (0.9, True, True, False)]
     data = spark.createDataFrame(rows, "s double, a boolean, b boolean, e boolean")
-    got = [r[0] for r in data.select(priors.stratum(F.col("s"), F.col("a"), F.col("b"), F.col("e"), priors.SamplingConfig())).collect()]
+    got = [r[0] for r in data.select(priors.stratum(F.col("s"), F.col("a"), F.col("b"), F.col("e"), priors.DrawDesign())).collect()]
     assert got == ["background", "transition", "hard", "hard", "ineligible"]
 
 
