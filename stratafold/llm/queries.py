@@ -79,7 +79,7 @@ def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_collection_bwt": (repeated_bytes, None),
     "op2_window_packing": (pack, None),
-    "op3_seed_extend": (repeated_words, None),
+    "op3_seed_extend": (repeated_words, substring_dedup.SQL),
     "op4_source_mixing": (mix, None),
     "op5_byte_ppm": (likelihood, None),
     "op6_column_search": (nearest, column_search.SQL),

@@ -120,3 +120,18 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text") -> Data
     found = find_repeats(docs, width, text).select("k1", "k2", F.col("kept").alias("_kept"))
     joined = docs.withColumns({"k1": k1, "k2": k2}).join(found, ["k1", "k2"], "left")
     return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_kept"))).select(*docs.columns)
+
+
+#: Every window of 35 words against all others; a word goes if a repeated window starts at most 34 words before it.
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT n, words[i] AS word, i, CASE WHEN i + 34 <= len(words) THEN md5(array_to_string(words[i:i + 34], ' ')) END AS key
+      FROM w, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i)),
+t AS (SELECT *, key IS NOT NULL AND count(*) OVER (PARTITION BY key) > 1 AS twice FROM p),
+c AS (SELECT *, coalesce(i - max(CASE WHEN twice THEN i END) OVER (PARTITION BY n ORDER BY i) < 35, FALSE) AS gone FROM t),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY n ORDER BY i), FALSE) AS starts FROM c),
+g AS (SELECT n, count(*) AS n_words, count_if(gone) AS n_removed, count_if(starts) AS n_ranges, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY i) AS kept FROM r GROUP BY n)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_ranges, 0) AS INTEGER) AS n_ranges, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (n)
+"""
