@@ -6,8 +6,9 @@ that pass the base rules. A document goes when its Jensen-Shannon distance to a
 length: short texts scatter more, so the limit widens with 1/sqrt(size), and below a least size a histogram is not
 judged at all.
 
-Languages with fewer than ``min_docs`` passing documents or less than a thousandth of all documents (so at most a thousand
-references exist, whatever the corpus) are held against the reference of all languages; NULL is a language of its own.
+The references are a table that is joined to the documents by language, so their number is not bounded. A language with
+fewer than ``min_docs`` passing documents has none: its documents are not judged by distance, only by the base rules.
+NULL is a language of its own.
 
 Edge cases: NULL and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged one by
 one and alike. An empty table gives an empty result. Input columns named like a result column are replaced by it.
@@ -24,13 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import text_bytes
+from stratafold.llm.common import arrow_batches, broadcast_if_small, text_bytes
+from stratafold.session import cut
 
 CLASSES = ("plain", "upper", "other_letter", "space", "line", "stop", "emphasis", "symbol", "control")
 SYMBOLS = b"#*$%&|<>"
 SHARE_STEPS = 500
 
 
+@dataclass
+class Reference:
+    words: dict[bytes, int]
+    word_share: np.ndarray
+    class_share: np.ndarray
+
+
 @dataclass(frozen=True)
 class Limits:
     common_words: int = 100
@@ -122,108 +131,103 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, f"{kept}, {extra}")
 
 
-def reference_counts(docs: DataFrame, numbers: dict[str | None, int], text: str, lang: str) -> DataFrame:
-    """code, kind, key, n over the documents that pass the base rules, summed per batch before the shuffle.
+def reference_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """lang, kind, key, n over the documents that pass the base rules, summed per batch before the shuffle.
 
-    ``code`` is the language's number in ``numbers``, else -1; code -2 sums all (so a word has at most 1002 rows). Kind ``word`` counts occurrences of a word; ``docs`` and
-    ``words`` are totals; ``c0``, ``c1``... count the documents whose share of a character class, in steps of 1/500, is the key.
+    Kind ``word`` counts occurrences of a word; ``docs`` and ``words`` are totals; ``c0``, ``c1``... count the documents whose share of
+    a character class, in steps of 1/500, is the key.
     """
-    schema = pa.schema([("code", pa.int32()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_code: dict[int, tuple[Counter, Counter]] = {}
+            by_lang: dict[str | None, tuple[Counter, Counter]] = {}
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("_bytes")):
                 raw = value.as_py()
                 n_words, _, _, _, repeated, chars = base_counts(raw)
                 if fails_base(n_words, repeated):
                     continue
-                words, other = by_code.setdefault(numbers.get(name, -1), (Counter(), Counter()))
+                words, other = by_lang.setdefault(name, (Counter(), Counter()))
                 plain = raw.translate(PLAIN).split()
                 words.update(plain)
                 other["docs", b""] += 1
                 other["words", b""] += len(plain)
                 for i, x in enumerate(np.rint(SHARE_STEPS * chars / chars.sum()).astype(int).tolist()):
                     other[f"c{i}", b"%d" % x] += 1
-            for code, (words, other) in by_code.items():
+            for name, (words, other) in by_lang.items():
                 kinds = ["word"] * len(words) + [k for k, _ in other]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([code] * len(kinds), pa.int32()), pa.array(kinds, pa.string()),
+                    [pa.array([name] * len(kinds), pa.string()), pa.array(kinds, pa.string()),
                      pa.array([*words, *(k for _, k in other)], pa.binary()), pa.array([*words.values(), *other.values()], pa.int64())],
                     schema=schema)
 
     source = docs.select(F.col(lang).cast("string").alias("lang"), text_bytes(text).alias("_bytes"))
-    parts = source.mapInArrow(run, "code int, kind string, key binary, n bigint")
-    # Dealt by word once, both sums follow without a further shuffle.
-    own = parts.repartition("kind", "key").groupBy("kind", "key", "code").agg(F.sum("n").alias("n"))
-    listed = own.groupBy("kind", "key").agg(F.collect_list(F.struct("code", "n")).alias("own"), F.sum("n").alias("n"))
-    both = F.concat("own", F.array(F.struct(F.lit(-2).alias("code"), F.col("n"))))
-    return listed.select("kind", "key", F.explode(both).alias("c")).select("c.code", "kind", "key", "c.n")
-
-
-@dataclass
-class Reference:
-    words: dict[bytes, int]
-    word_share: np.ndarray
-    class_share: np.ndarray
+    parts = source.mapInArrow(run, "lang string, kind string, key binary, n bigint")
+    return parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> dict[tuple[bool, str | None], Reference]:
-    """References by (False, language); (True, None) is the one of all languages.
+def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str = "lang") -> DataFrame:
+    """_lang, words (most common first), word_share (one more for all other words) and class_share of each language with a reference.
 
-    A class share is the median over documents, so that odd ones do not move it. At most a thousand languages have a
-    reference (each holds a thousandth of the documents), so what the driver holds is bounded.
+    A class share is the median over documents, so that odd ones do not move it.
     """
-    sizes = docs.groupBy(F.col(lang).cast("string").alias("lang")).count()
-    corpus = sizes.agg(F.sum("count")).first()[0] or 0
-    least = max(limits.min_docs, -(-corpus // 1000))
-    large = [r["lang"] for r in sizes.where(F.col("count") >= least).collect()]  # at most a thousand rows
-    counts = reference_counts(docs, {name: i for i, name in enumerate(large)}, text, lang)
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.desc("n"), "key")))
+    schema = pa.schema([("_lang", pa.string()), ("words", pa.list_(pa.binary())), ("word_share", pa.list_(pa.float64())), ("class_share", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in schema.names}
+            for name, listed in zip(batch.column("lang").to_pylist(), batch.column("rows")):
+                rows = listed.as_py()
+                if sum(r["n"] for r in rows if r["kind"] == "docs") < limits.min_docs:
+                    continue
+                common = [r for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == "word"]
+                total = max(next(r["n"] for r in rows if r["kind"] == "words"), 1)
+                held = np.array([r["n"] for r in common], float)
+                share = np.zeros(len(CLASSES))
+                for i in range(len(CLASSES)):
+                    seen = sorted((int(r["key"]), r["n"]) for r in rows if r["kind"] == f"c{i}")
+                    below = np.cumsum([n for _, n in seen])
+                    share[i] = seen[int(np.searchsorted(below, below[-1] / 2))][0]
+                out["_lang"].append(name)
+                out["words"].append([r["key"] for r in common])
+                out["word_share"].append((np.append(held, total - held.sum()) / total).tolist())
+                out["class_share"].append((share / max(share.sum(), 1)).tolist())
+            yield arrow_batches(out, schema)
+
+    counts = reference_counts(docs, text, lang)
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
     # A class has at most 501 shares, so this limit is one of the words alone. Tasks apply it before the shuffle.
-    found = ranked.where((F.col("place") <= max(SHARE_STEPS + 1, limits.common_words)) & (F.col("code") != -1))
-    by_code: dict = {}
-    for r in found.where((F.col("kind") != "word") | (F.col("place") <= limits.common_words)).collect():
-        by_code.setdefault(r["code"], []).append(r)
-    out = {}
-    for code, rows in by_code.items():
-        common = [(r["n"], bytes(r["key"])) for r in sorted(rows, key=lambda r: r["place"]) if r["kind"] == "word"]
-        total = max(next(r["n"] for r in rows if r["kind"] == "words"), 1)
-        held = np.array([n for n, _ in common], float)
-        share = np.zeros(len(CLASSES))
-        for i in range(len(CLASSES)):
-            seen = sorted((int(r["key"]), r["n"]) for r in rows if r["kind"] == f"c{i}")
-            below = np.cumsum([n for _, n in seen])
-            share[i] = seen[int(np.searchsorted(below, below[-1] / 2))][0]
-        key = (True, None) if code == -2 else (False, large[code])
-        out[key] = Reference({w: i for i, (_, w) in enumerate(common)}, np.append(held, total - held.sum()) / total, share / max(share.sum(), 1))
-    return {k: r for k, r in out.items() if k[0] or _documents(by_code[large.index(k[1])]) >= limits.min_docs}
-
-
-def _documents(rows) -> int:
-    return sum(r["n"] for r in rows if r["kind"] == "docs")
+    found = ranked.where(F.col("place") <= max(SHARE_STEPS + 1, limits.common_words))
+    found = found.where((F.col("kind") != "word") | (F.col("place") <= limits.common_words))
+    listed = found.groupBy("lang").agg(F.collect_list(F.struct("kind", "key", "n", "place")).alias("rows"))
+    return listed.mapInArrow(run, "_lang string, words array<binary>, word_share array<double>, class_share array<double>")
 
 
 def apply_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with base columns, ``class_distance``, ``word_distance`` (NULL where too short) and ``kept``."""
+    """``docs`` with base columns, ``class_distance``, ``word_distance`` (NULL where too short or without a reference) and ``kept``."""
     limits = limits or Limits()
-    refs = references(docs, limits, text, lang)
+    refs = cut(references(docs, limits, text, lang)).select(F.col("_lang").alias("_ref_lang"), F.struct("words", "word_share", "class_share").alias("_ref"))
     added = ("class_distance", "word_distance", "kept")
     keep = [c for c in docs.columns if c not in added]
     feats = base_features(docs.select(*keep, F.col(lang).cast("string").alias("_lang"), text_bytes(text).alias("_raw")), text)
     names = [c for c in feats.columns if c not in ("class_chars", "_lang", "_raw")]
-    pooled = refs.get((True, None))
+    joined = feats.join(broadcast_if_small(refs), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left").drop("_ref_lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch.num_rows
+            size, refs = batch.num_rows, {}
+            judged = np.zeros(size, bool)
             chars = np.array(batch.column("class_chars").to_pylist(), float).reshape(size, len(CLASSES))
             hist, want = np.zeros((size, limits.common_words + 1)), np.zeros((size, limits.common_words + 1))
             ideal = np.zeros((size, len(CLASSES)))
             for i, (code, raw) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_raw"))):
-                ref = refs.get((False, code), pooled)
+                if code not in refs:
+                    one = batch.column("_ref")[i].as_py()
+                    refs[code] = one and Reference({w: k for k, w in enumerate(one["words"])}, np.array(one["word_share"]), np.array(one["class_share"]))
+                ref = refs[code]
                 if ref is None:
                     continue
+                judged[i] = True
                 words = raw.as_py().translate(PLAIN).split()
                 counts = Counter(words)
                 for w, k in ref.words.items():
@@ -235,7 +239,7 @@ def apply_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text
             n_words, n_chars = hist.sum(1), chars.sum(1)
             by_class = js_distance(chars / np.maximum(n_chars, 1)[:, None], ideal)
             by_word = js_distance(hist / np.maximum(n_words, 1)[:, None], want)
-            judged_c, judged_w = n_chars >= limits.min_chars, n_words >= limits.min_words
+            judged_c, judged_w = judged & (n_chars >= limits.min_chars), judged & (n_words >= limits.min_words)
             bad = judged_c & (by_class > limits.class_limit + limits.class_slack / np.sqrt(np.maximum(n_chars, 1)))
             bad |= judged_w & (by_word > limits.word_limit + limits.word_slack / np.sqrt(np.maximum(n_words, 1)))
             failed = np.array(batch.column("base_failed").to_pylist(), bool)
@@ -244,4 +248,4 @@ def apply_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text
                 names=[*names, *added])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in feats.select(*names).schema)
-    return feats.mapInArrow(run, f"{kept}, class_distance double, word_distance double, kept boolean")
+    return joined.mapInArrow(run, f"{kept}, class_distance double, word_distance double, kept boolean")

@@ -52,6 +52,23 @@ def test_quality_verdicts(make_docs):
     assert quality_rules.apply_rules(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_quality_of_small_languages(make_docs, monkeypatch, broadcast):
+    rng = random.Random(4)
+    greek = str.maketrans("abcdefghiklmnoprstuvwz", "αβγδεζηθικλμνξοπρστυφχ")
+    clean = [(i, " ".join(sentence(rng, 12) for _ in range(8)), "en", "s0") for i in range(60)]
+    few = [(100 + i, " ".join(sentence(rng, 12) for _ in range(8)).lower().translate(greek), "el", "s0") for i in range(12)]
+    own = [(200 + i, " ".join(sentence(rng, 12) for _ in range(8)).lower().translate(greek), None, "s0") for i in range(25)]
+    odd = [(300, " ".join(sentence(rng, 12) for _ in range(8)), None, "s0"), (301, "x " * 60, "el", "s0")]
+    rest = [(1000 + i, "ein kurzer Text", "en", "s0") for i in range(26000)]
+    if not broadcast:
+        monkeypatch.setattr(quality_rules, "broadcast_if_small", lambda df: df.hint("merge"))
+    out = {r["doc_id"]: r for r in quality_rules.apply_rules(make_docs(clean + few + own + odd + rest)).where("doc_id < 1000").collect()}
+    assert len(out) == 99 and {i for i, r in out.items() if not r["kept"]} == {300, 301}
+    assert all(out[r[0]]["class_distance"] is None and out[r[0]]["word_distance"] is None for r in few)
+    assert all(out[r[0]]["class_distance"] is not None and out[r[0]]["word_distance"] is not None for r in clean + own)
+
+
 def test_js_distance():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.25, 0.25, 0.5]])
     m = (p + q) / 2
