@@ -65,6 +65,33 @@ def test_near_duplicates(make_docs, awkward, small):
     assert sorted(got, key=repr) == plain_near(rows)
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_large_bucket_passes_pairs_on(spark, last):
+    """Drifting versions: neighbours are at 0.9, few are like a pivot; one bucket of close sets beside it settles."""
+    drift = [np.array([1000 + (i + t) // 10 for t in range(10)] * 10, np.uint32) for i in range(40)]
+    close = [np.array([5000 + i if t == 0 else 7 for t in range(100)], np.uint32) for i in range(20)]
+    rows = [(0, 1, b"%04d" % i, s.tobytes()) for i, s in enumerate(drift)] + [(0, 2, b"%04d" % (100 + i), s.tobytes()) for i, s in enumerate(close)]
+    buckets = spark.createDataFrame(rows, "run int, path bigint, key binary, sketch binary")
+    out = chosen_path.compare_buckets(buckets, 100, 0.62, 4, last).collect()
+    passed = {bytes(r["a"]) for r in out if r["kind"] == 1}
+    root = {r[2]: r[2] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for r in out:
+        if r["kind"] == 0:
+            root[find(bytes(r["a"]))] = find(bytes(r["b"]))
+    assert len({find(b"%04d" % (100 + i)) for i in range(20)}) == 1 and b"0100" not in passed
+    for i in range(40):
+        for j in range(i):
+            if (drift[i] == drift[j]).mean() >= 0.8:
+                a, b = b"%04d" % i, b"%04d" % j
+                assert find(a) == find(b) or {a, b} <= passed
+    assert not (last and passed)
+
+
 def test_near_duplicates_edges(make_docs):
     assert chosen_path.near_duplicates(make_docs([])).count() == 0
     alone = chosen_path.near_duplicates(make_docs([(1, None), (2, ""), (3, "ein wort"), (4, "ein wort")])).collect()
