@@ -92,6 +92,23 @@ def test_large_bucket_passes_pairs_on(spark, last):
     assert not (last and passed)
 
 
+def test_runs_until_recall(spark, make_docs, monkeypatch):
+    """Where every set has a close copy, a single round of runs is not enough; pairs count by the runs that join them."""
+    levels = []
+    split = chosen_path.split
+    monkeypatch.setattr(chosen_path, "split", lambda buckets, level, *rest: levels.append(level) or split(buckets, level, *rest))
+    rng = random.Random(8)
+    texts = [sentence(rng, 100) for _ in range(20)]
+    found = chosen_path.near_duplicates(make_docs([(100 * k + i, t + f" Ende {k}") for k in range(4) for i, t in enumerate(texts)]))
+    assert {r["n_links"] for r in found.collect()} == {3}
+    assert levels.count(1) >= 2
+    pairs = spark.createDataFrame([(b"a", b"b", False), (b"a", b"b", True), (b"a", b"c", False), (b"d", b"e", False)], "a binary, b binary, crowded boolean")
+    roots = spark.createDataFrame([(b"0", n, b"a") for n in (b"a", b"b", b"c")] + [(b"1", n, b"a") for n in (b"a", b"c")] + [(b"1", b"b", b"b"), (b"1", b"d", b"d"), (b"1", b"e", b"d")],
+                                  "run binary, node binary, root binary")
+    assert sorted(chosen_path.found_once(pairs, roots)) == [(1, 1), (2, 1)]
+    assert chosen_path.enough([(1000, 5)], 8, 0.995) and not chosen_path.enough([(1000, 5), (100, 1)], 8, 0.995)
+
+
 def test_near_duplicates_edges(make_docs):
     assert chosen_path.near_duplicates(make_docs([])).count() == 0
     alone = chosen_path.near_duplicates(make_docs([(1, None), (2, ""), (3, "ein wort"), (4, "ein wort")])).collect()
