@@ -156,14 +156,23 @@ BASE_RULES = (
     Rule("access", rb"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", rb"[0-9a-f]{16,}"),
 )
+#: Up to the END line of the same label if it comes before the next BEGIN, else over header lines and the base64 lines that
+#: follow (line breaks may be written as escapes), a short one only as the last. Possessive, so time grows with the length.
+PRIVATE_KEY = (
+    rb"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----"
+    rb"(?:[^-]*+(?:-(?!----(?:BEGIN |END \1-----))[^-]*+)*+-----END \1-----"
+    rb"|(?:(?:\s*+[A-Za-z][A-Za-z-]*+:\x20[^\n]*+\n)*+"
+    rb"(?:(?:[\s\"'>#|,]|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)++"
+    rb"(?:(?:[\s\"'>#|,]|\\[nr])++(?:(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?+(?=[\x20\t\r\"',]*+(?:\n|\\[nr]|\Z))|[A-Za-z0-9+/]++\Z))?+)?+)"
+)
 FURTHER_RULES = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", rb"AIza[A-Za-z0-9_-]{35,}"),
     Rule("payment", rb"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login_url", rb"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[A-Za-z0-9.-]{1,255}"),
+    Rule("login_url", rb"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:[^\s:/@]{3,}+@[A-Za-z0-9.-]{1,255}"),
 )
 RULES = BASE_RULES + FURTHER_RULES
 
