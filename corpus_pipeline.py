@@ -7,12 +7,14 @@ what remains is packed into training windows. All stages but the last return the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratafold.llm import chosen_path, mixing, packing, quality_rules, secret_index
 from stratafold.llm.repeats import text_keys
-from stratafold.session import cut
+from stratafold.session import cut, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,12 @@ ORACLE_SQL = None  # tokens, divergences and chosen paths are not SQL; tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result; every stage is written to the shared folder once and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
     return docs

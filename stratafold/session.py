@@ -41,18 +41,24 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """This run's own folder in ``spark.checkpoint.dir``.
 
-    Uses the shared folder in ``spark.checkpoint.dir``; a temporary folder is
-    set only when neither the setting nor a directory exists (local tests).
+    A temporary folder is set only when neither the setting nor a directory
+    exists (local tests).
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = os.path.join(tempfile.mkdtemp(prefix="stratafold-"), "checkpoints")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to reliable storage (``shared_folder``) and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -242,6 +242,20 @@ def test_pipeline_stages(spark, make_docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == tokens
 
 
+def test_pipeline_rereads_stages(spark, make_docs, monkeypatch, tmp_path):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append([f.rsplit("/", 2)[-2] for f in docs.inputFiles()])
+        return docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 1)
+
+    make_docs([(i, "ein Text") for i in range(5)]).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [2, 3, 4, 5, 6]
+    assert [set(r) for r in read] == [{"documents.parquet"}, {"0"}] and all("/pipeline-" in f for f in out.inputFiles())
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as contract
     names = contract.queries()
