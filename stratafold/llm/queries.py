@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import byte_ppm, chosen_path, collection_bwt, column_search, mixing, packing, quality_rules, secret_index, substring_dedup, toxic_segments
+from stratafold.llm import (
+    byte_ppm, chosen_path, collection_bwt, column_search, conversation_repair, mixing, packing, pair_index_bpe, prefix_trie, quality_rules, secret_index,
+    substring_dedup, toxic_segments)
 from stratafold.llm.common import table
 from stratafold.llm.repeats import text_keys
 
@@ -76,6 +78,33 @@ def near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pair_index_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    encoded = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
+    decoded = pair_index_bpe.decode(encoded)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found, fixed = conversation_repair.repair(conversation_repair.damage(rows))
+    out = rows.select("conv_id").distinct()
+    for part in (found, conversation_repair.digests(fixed)):
+        part = part.withColumnRenamed("conv_id", "_conv")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, runs = prefix_trie.trie(prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+    return nodes.join(prefix_trie.end_digests(runs), "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
 QUERIES = {
     "op1_collection_bwt": (repeated_bytes, None),
     "op2_window_packing": (pack, None),
@@ -87,4 +116,7 @@ QUERIES = {
     "op8_toxic_segments": (toxicity, None),
     "op9_secret_index": (secrets, None),
     "op10_chosen_path": (near_join, None),
+    "op11_pair_index_bpe": (tokens, None),
+    "op12_conversation_repair": (repaired, conversation_repair.SQL),
+    "op13_prefix_trie": (conversation_trie, prefix_trie.SQL),
 }
