@@ -3,10 +3,10 @@
 A block of a partition's texts is cut at ASCII white space, and every distinct chunk that is new is encoded once. The
 vocabulary file's own normalizer and splitter turn chunks into pieces; pieces become symbols, one per byte, and all
 pieces of the block lie in one array. An index maps each rank to all positions of its pair. Ranks that occur are
-taken in ascending order; at each position the pair is replaced, and the two pairs that arise around it join the lists of
-their ranks. If one of them ranks below the current pair, the rest of the current list waits until that one is done, so
-every piece sees its merges in the very order that one-by-one encoding gives it. Lists are not cleaned: a position
-whose pair is gone is skipped.
+taken in ascending order; at all its positions the pair is replaced, and the two pairs that arise around each join the
+lists of their ranks. Where one of them could rank below the current pair, positions are taken one by one, and the rest
+of the list waits until the lower one is done, so every piece sees its merges in the very order that one-by-one
+encoding gives it. Lists are not cleaned: a position whose pair is gone is skipped.
 
 Cutting at white space first changes nothing: the splitter drops white space, and nothing composes with it. Strings of
 special tokens inside a text become those tokens, as the library does by default. Chunks keep their ids for later blocks
@@ -35,7 +35,7 @@ from stratafold.llm.common import blobs, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_BYTES = 4 << 20
-HELD_BYTES = 48 << 20
+HELD_BYTES = 96 << 20
 
 
 def file_of(vocabulary: str) -> str:
@@ -56,6 +56,18 @@ def byte_characters() -> list[str]:
     return out
 
 
+#: The steps before merging for which most chunks need no library call: normalizer and splitter as the file words them.
+PLAIN_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: ASCII and the letters of Latin-1, which are composed already and have lower case letters of Latin-1 or none.
+LATIN = re.compile(r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+
+
 class Vocabulary:
     """Tokens, merges and the steps before merging of a byte-level vocabulary file with word-end marks."""
 
@@ -73,71 +85,116 @@ class Vocabulary:
         self.tokens = [""] * (max([*ids.values(), *self.added.values()]) + 1)
         for token, i in [*ids.items(), *self.added.items()]:
             self.tokens[i] = token
-        self.inner, self.last = ([ids[c + mark] for c in byte_characters()] for mark in ("", end))
-        self.of_character = {c: b for b, c in enumerate(byte_characters())}
+        characters = byte_characters()
+        self.inner, self.last = (np.array([ids[c + mark] for c in characters]) for mark in ("", end))
+        self.of_character = {c: b for b, c in enumerate(characters)}
         self.merge: dict[int, tuple[int, int]] = {}  # left << 32 | right: rank, id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[ids[a] << 32 | ids[b]] = (rank, ids[a + b])
         codes = np.array(list(self.merge), np.int64)
+        ranks = np.array([r for r, _ in self.merge.values()], np.int64)
         order = np.argsort(codes)
-        self.codes, self.ranks = codes[order], np.array([r for r, _ in self.merge.values()])[order]
-        self.left = (codes >> 32).tolist()  # by rank
-        self.right = (codes & 0xFFFFFFFF).tolist()
-        self.made = [i for _, i in self.merge.values()]
+        self.codes, self.ranks = codes[order], ranks[order]
+        left, right, made = codes >> 32, codes & 0xFFFFFFFF, np.array([i for _, i in self.merge.values()], np.int64)
+        lowest = np.full(len(self.tokens), len(codes))
+        np.minimum.at(lowest, left, ranks)
+        np.minimum.at(lowest, right, ranks)
+        #: By rank: the pair, its symbol, and whether a pair with that symbol ranks lower.
+        self.pairs = dict(zip(ranks.tolist(), zip(left.tolist(), right.tolist(), made.tolist(), (lowest[made] < ranks).tolist())))
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.plain = (whole["normalizer"], whole["pre_tokenizer"]) == PLAIN_STEPS
+        self.marks = re.compile(b"|".join(re.escape(t.encode()) for t in self.added)) if self.added else None
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def pieces(self, chunk: bytes) -> list[str | int]:
-        """Pieces of a chunk in byte characters; a special token is its id."""
-        out: list[str | int] = []
+    def pieces(self, chunk: bytes) -> list[bytes | int]:
+        """Pieces of a chunk; a special token is its id."""
+        plain = self.plain and not (self.marks and self.marks.search(chunk))
+        if plain and chunk.isascii():
+            return [chunk.lower()] if chunk.isalpha() else ASCII_PIECES.findall(chunk.lower())
         text = chunk.decode("utf-8", "replace")
+        if plain and LATIN.fullmatch(text):
+            return [p.encode() for p in LATIN_PIECES.findall(text.lower())]
+        out: list[bytes | int] = []
         for part in self.special.split(text) if self.special else [text]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out.extend(p for p, _ in self.split(self.normalize(part)))
+                out.extend(bytes(map(self.of_character.__getitem__, p)) for p, _ in self.split(self.normalize(part)))
         return out
 
+    def rank_of(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of pair codes, -1 for what is no pair."""
+        spot = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
+        return np.where(self.codes[spot] == pairs, self.ranks[spot], -1)
+
+
+def merge_all(pieces: list[bytes], vocabulary: Vocabulary, many: int = 48) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of each piece, by one pair index over all of them.
 
-def merge_all(pieces: list[str], vocabulary: Vocabulary) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit) of each piece, by one pair index over all of them."""
+    A list of ``many`` positions or more is replaced at once, unless order within it matters: if its two symbols are equal,
+    or if a pair that arises could rank below it.
+    """
     if not pieces:
         return []
-    of = vocabulary.of_character
-    raw = np.fromiter((of[c] for p in pieces for c in p), np.int64)
-    sizes = np.array([len(p) for p in pieces])
-    ends = np.cumsum(sizes)
-    whole = np.array(vocabulary.inner)[raw]
-    whole[ends - 1] = np.array(vocabulary.last)[raw[ends - 1]]
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([len(p) for p in pieces])
+    whole = vocabulary.inner[raw]
+    whole[ends - 1] = vocabulary.last[raw[ends - 1]]
     size = len(whole)
-    after = np.arange(1, size + 1)
+    symbol, following, preceding = array("q", whole.tobytes()), array("q", np.arange(1, size + 1).tobytes()), array("q", np.arange(-1, size - 1).tobytes())
+    symbols, after, before = (np.frombuffer(x, np.int64) for x in (symbol, following, preceding))  # the same memory
     after[ends - 1] = -1
-    before = np.arange(-1, size - 1)
     before[ends[:-1]] = -1
-    before[0] = -1
 
     inside = np.flatnonzero(after >= 0)
-    pair = whole[inside] << 32 | whole[after[inside]]
-    spot = np.minimum(np.searchsorted(vocabulary.codes, pair), len(vocabulary.codes) - 1)
-    known = vocabulary.codes[spot] == pair
-    rank, at = vocabulary.ranks[spot[known]], inside[known]
-    order = np.argsort(rank, kind="stable")
-    rank, at = rank[order], at[order]
-    active, first = np.unique(rank, return_index=True)
+    ranks = vocabulary.rank_of(symbols[inside] << 32 | symbols[after[inside]])
+    at, ranks = inside[ranks >= 0], ranks[ranks >= 0]
+    order = np.argsort(ranks, kind="stable")
+    ranks, at = ranks[order], at[order]
+    active, first = np.unique(ranks, return_index=True)
     index: dict[int, list[int]] = {r: x.tolist() for r, x in zip(active.tolist(), np.split(at, first[1:]))}
     heap = active.tolist()  # ascending, so a heap
-
-    symbol, following, preceding = array("q", whole.tobytes()), array("q", after.tobytes()), array("q", before.tobytes())
     merge = vocabulary.merge
+
+    def arises(rank: int, position: int) -> None:
+        if rank in index:
+            index[rank].append(position)
+        else:
+            index[rank] = [position]
+            heapq.heappush(heap, rank)
+
     while heap:
         rank = heapq.heappop(heap)
         positions = index.pop(rank, None)
         if positions is None:
             continue
+        left, right, made, ordered = vocabulary.pairs[rank]
+        if len(positions) >= many and left != right and not ordered:
+            i = np.sort(np.array(positions))
+            i = i[np.append(True, i[1:] != i[:-1])]
+            j = after[i]
+            holds = (symbols[i] == left) & (j >= 0)
+            holds &= symbols[j] == right  # of a piece's last symbol any other, whose verdict is not used
+            i, j = i[holds], j[holds]
+            k = after[j]
+            symbols[i], symbols[j] = made, -1
+            after[i] = k
+            inner = k >= 0
+            before[k[inner]] = i[inner]
+            p = before[i]
+            outer = p >= 0
+            place = np.concatenate([i[inner], p[outer]])
+            new = vocabulary.rank_of(np.concatenate([made << 32 | symbols[k[inner]], symbols[p[outer]] << 32 | made]))
+            for r, x in zip(new[new >= 0].tolist(), place[new >= 0].tolist()):
+                if r in index:
+                    index[r].append(x)
+                else:
+                    index[r] = [x]
+                    heapq.heappush(heap, r)
+            continue
         positions.sort()
-        left, right, made = vocabulary.left[rank], vocabulary.right[rank], vocabulary.made[rank]
         for done, i in enumerate(positions, 1):
             j = following[i]
             if j < 0 or symbol[i] != left or symbol[j] != right:
@@ -147,33 +204,24 @@ def merge_all(pieces: list[str], vocabulary: Vocabulary) -> list[bytes]:
             sooner = False
             if k >= 0:
                 preceding[k] = i
-                arisen = merge.get(made << 32 | symbol[k])
-                if arisen:
-                    sooner = arisen[0] < rank
-                    if arisen[0] in index:
-                        index[arisen[0]].append(i)
-                    else:
-                        index[arisen[0]] = [i]
-                        heapq.heappush(heap, arisen[0])
+                found = merge.get(made << 32 | symbol[k])
+                if found:
+                    sooner = found[0] < rank
+                    arises(found[0], i)
             p = preceding[i]
             if p >= 0:
-                arisen = merge.get(symbol[p] << 32 | made)
-                if arisen:
-                    sooner |= arisen[0] < rank
-                    if arisen[0] in index:
-                        index[arisen[0]].append(p)
-                    else:
-                        index[arisen[0]] = [p]
-                        heapq.heappush(heap, arisen[0])
+                found = merge.get(symbol[p] << 32 | made)
+                if found:
+                    sooner |= found[0] < rank
+                    arises(found[0], p)
             if sooner:
                 if done < len(positions):
                     index[rank] = positions[done:]
                     heapq.heappush(heap, rank)
                 break
-    found = np.frombuffer(symbol, np.int64)
-    live = found >= 0
+    live = symbols >= 0
     kept = np.cumsum(live)[ends - 1]
-    flat = found[live].astype("<u4").tobytes()
+    flat = symbols[live].astype("<u4").tobytes()
     cuts = [0, *(4 * kept).tolist()]
     return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -188,14 +236,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunked = [t.split() for t in texts]  # at ASCII white space
-        new = {c for chunks in chunked for c in chunks if c not in self.known}
+        new = set().union(*chunked).difference(self.known)
         parts = {c: self.vocabulary.pieces(c) for c in new}
-        distinct = list({p for x in parts.values() for p in x if isinstance(p, str)})
+        distinct = list({p for x in parts.values() for p in x if isinstance(p, bytes)})
         ids = dict(zip(distinct, merge_all(distinct, self.vocabulary)))
         for c, x in parts.items():
-            self.known[c] = b"".join([ids[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in x])
+            self.known[c] = ids[x[0]] if len(x) == 1 and isinstance(x[0], bytes) else b"".join([ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in x])
             self.held += 2 * len(c) + 200
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in chunked]
+        ids_of = self.known.__getitem__
+        out = [b"".join(map(ids_of, chunks)) for chunks in chunked]
         if self.held > self.held_bytes:
             self.known, self.held = {}, 0
         return out
