@@ -92,7 +92,8 @@ def prefixes(turns: DataFrame, carried: str | None = None, whole_only: bool = Fa
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    dealt = turns.select(*columns).repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
+    # By a hash of the number: a shuffle by the number itself would be dropped after a join on it, and AQE may split that join's partitions.
+    dealt = turns.select(*columns).repartition(partitions(turns.sparkSession), F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "place")
     return dealt.mapInArrow(run, "conv_id bigint, depth bigint, node binary, parent binary, size bigint" + "".join(f", {c} bigint" for c in extra))
 
 
