@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,24 @@ def blobs(column: pa.Array) -> Iterator[bytes]:
     return (v.as_py() or b"" for v in column)
 
 
+def encoded(column: pa.Array) -> list[bytes]:
+    """Each text of a string column in UTF-8, NULL as no bytes."""
+    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
+
+
+def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in a string or binary column hold about ``most_bytes``, one row at least."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most_bytes:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

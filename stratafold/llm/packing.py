@@ -36,38 +36,32 @@ class Costs:
     sentence: int = 6
     inside: int = 24
     filler: int = 64
-    segment: int = 1 << 20
+    segment: int = 1 << 17
 
 
 def encoder(vocabulary: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
-    """Ids of texts, and for each id whether it ends a sentence. ``vocabulary``: a .tiktoken or .json file, or the name of one of the public ones.
-
-    Workers outlive a task, so what was loaded is kept on the library's module.
-    """
+    """Ids of texts, and for each id whether it ends a sentence. ``vocabulary``: a .tiktoken or .json file, or the name of one of the public ones."""
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    held = vars(tiktoken).setdefault("_loaded_vocabularies", {})
-    if vocabulary not in held:
-        path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-        if path.endswith(".tiktoken"):
-            with open(path) as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
-            model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            pieces = {i: b for b, i in ranks.items()}
-            encode = lambda texts: [model.encode_ordinary(t) for t in texts]
-        else:
-            from tokenizers import Tokenizer
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            pieces = {i: model.decode([i]).encode() for i in range(model.get_vocab_size())}
-            encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-        ends = np.zeros(max(pieces) + 2, bool)
-        ends[[i for i, b in pieces.items() if b.rstrip(b" ").endswith((b".", b"!", b"?", b"\n"))]] = True
-        held[vocabulary] = (encode, ends)
-    return held[vocabulary]
+    path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
+    if path.endswith(".tiktoken"):
+        with open(path) as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
+        model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pieces = {i: b for b, i in ranks.items()}
+        encode = lambda texts: [model.encode_ordinary(t) for t in texts]
+    else:
+        from tokenizers import Tokenizer
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        pieces = {i: model.decode([i]).encode() for i in range(model.get_vocab_size())}
+        encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    ends = np.zeros(max(pieces) + 2, bool)
+    ends[[i for i, b in pieces.items() if b.rstrip(b" ").endswith((b".", b"!", b"?", b"\n"))]] = True
+    return encode, ends
 
 
 def cut_points(ids: np.ndarray, closes: np.ndarray, ends: np.ndarray, costs: Costs, every_from: int) -> tuple[np.ndarray, np.ndarray]:

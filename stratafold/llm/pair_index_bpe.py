@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import blobs, text_bytes
+from stratafold.llm.common import blobs, blocks, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_BYTES = 4 << 20
@@ -250,19 +250,6 @@ class Encoder:
         return out
 
 
-def blocks(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose values in a binary column hold about ``most_bytes``, one row at least."""
-    sizes = [len(v) for v in blobs(batch.column(column))]
-    begin, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > begin and held + n > most_bytes:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += n
-    if begin < len(sizes):
-        yield batch.slice(begin)
-
-
 def _declared(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import arrow_batches, broadcast_if_small, text_bytes
+from stratafold.llm.common import arrow_batches, blocks, broadcast_if_small, encoded, text_bytes
 from stratafold.session import cut
 
 CLASSES = ("plain", "upper", "other_letter", "space", "line", "stop", "emphasis", "symbol", "control")
@@ -110,27 +110,6 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(parts.sum(-1) / 2, 0))
 
 
-def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base columns and ``class_chars``, characters by class."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    keep = [c for c in docs.columns if c not in (*names, "base_failed", "class_chars")]
-    added = pa.schema([*((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("class_chars", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [base_counts(t.as_py()) for t in batch.column("_bytes")]
-            rest = batch.drop_columns(["_bytes"])
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(5)]
-            columns.append(pa.array([fails_base(f[0], f[4]) for f in found], pa.bool_()))
-            columns.append(pa.array([f[5].tolist() for f in found], added.field("class_chars").type))
-            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, *added.names])
-
-    source = docs.select(*keep, text_bytes(text).alias("_bytes"))
-    extra = ", ".join([*(f"{n} bigint" for n in names), "base_failed boolean", "class_chars array<bigint>"])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return source.mapInArrow(run, f"{kept}, {extra}")
-
-
 def reference_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, kind, key, n over the documents that pass the base rules, summed per batch before the shuffle.
 
@@ -204,48 +183,57 @@ def references(docs: DataFrame, limits: Limits, text: str = "text", lang: str =
 
 
 def apply_rules(docs: DataFrame, limits: Limits | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with base columns, ``class_distance``, ``word_distance`` (NULL where too short or without a reference) and ``kept``."""
+    """``docs`` with base columns, ``class_distance``, ``word_distance`` (NULL where too short or without a reference) and ``kept``.
+
+    Rows pass once, a few megabytes of text at a time.
+    """
     limits = limits or Limits()
     refs = cut(references(docs, limits, text, lang)).select(F.col("_lang").alias("_ref_lang"), F.struct("words", "word_share", "class_share").alias("_ref"))
-    added = ("class_distance", "word_distance", "kept")
-    keep = [c for c in docs.columns if c not in added]
-    feats = base_features(docs.select(*keep, F.col(lang).cast("string").alias("_lang"), text_bytes(text).alias("_raw")), text)
-    names = [c for c in feats.columns if c not in ("class_chars", "_lang", "_raw")]
-    joined = feats.join(broadcast_if_small(refs), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left").drop("_ref_lang")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names = [c for c in docs.columns if c not in (*counts, "base_failed", "class_distance", "word_distance", "kept")]
+    source = docs.select(*names, F.col(lang).cast("string").alias("_lang"), *([] if text in names else [F.col(text)]))
+    joined = source.join(broadcast_if_small(refs), F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left").drop("_ref_lang")
+
+    def judge(batch: pa.RecordBatch, refs: dict) -> list[pa.Array]:
+        size, raws = batch.num_rows, encoded(batch.column(text))
+        found = [base_counts(raw) for raw in raws]
+        judged = np.zeros(size, bool)
+        chars = np.array([f[5] for f in found], float).reshape(size, len(CLASSES))
+        hist, want = np.zeros((size, limits.common_words + 1)), np.zeros((size, limits.common_words + 1))
+        ideal = np.zeros((size, len(CLASSES)))
+        for i, (code, raw) in enumerate(zip(batch.column("_lang").to_pylist(), raws)):
+            if code not in refs:
+                one = batch.column("_ref")[i].as_py()
+                refs[code] = one and Reference({w: k for k, w in enumerate(one["words"])}, np.array(one["word_share"]), np.array(one["class_share"]))
+            ref = refs[code]
+            if ref is None:
+                continue
+            judged[i] = True
+            words = raw.translate(PLAIN).split()
+            seen = Counter(words)
+            for w, k in ref.words.items():
+                hist[i, k] = seen.get(w, 0)
+            hist[i, -1] = len(words) - hist[i].sum()
+            want[i, :len(ref.words)] = ref.word_share[:-1]
+            want[i, -1] = ref.word_share[-1]
+            ideal[i] = ref.class_share
+        n_words, n_chars = hist.sum(1), chars.sum(1)
+        by_class = js_distance(chars / np.maximum(n_chars, 1)[:, None], ideal)
+        by_word = js_distance(hist / np.maximum(n_words, 1)[:, None], want)
+        judged_c, judged_w = judged & (n_chars >= limits.min_chars), judged & (n_words >= limits.min_words)
+        bad = judged_c & (by_class > limits.class_limit + limits.class_slack / np.sqrt(np.maximum(n_chars, 1)))
+        bad |= judged_w & (by_word > limits.word_limit + limits.word_slack / np.sqrt(np.maximum(n_words, 1)))
+        failed = np.array([fails_base(f[0], f[4]) for f in found], bool)
+        return [*(pa.array([f[i] for f in found], pa.int64()) for i in range(5)), pa.array(failed),
+                pa.array(by_class, mask=~judged_c), pa.array(by_word, mask=~judged_w), pa.array(~failed & ~bad)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, refs = batch.num_rows, {}
-            judged = np.zeros(size, bool)
-            chars = np.array(batch.column("class_chars").to_pylist(), float).reshape(size, len(CLASSES))
-            hist, want = np.zeros((size, limits.common_words + 1)), np.zeros((size, limits.common_words + 1))
-            ideal = np.zeros((size, len(CLASSES)))
-            for i, (code, raw) in enumerate(zip(batch.column("_lang").to_pylist(), batch.column("_raw"))):
-                if code not in refs:
-                    one = batch.column("_ref")[i].as_py()
-                    refs[code] = one and Reference({w: k for k, w in enumerate(one["words"])}, np.array(one["word_share"]), np.array(one["class_share"]))
-                ref = refs[code]
-                if ref is None:
-                    continue
-                judged[i] = True
-                words = raw.as_py().translate(PLAIN).split()
-                counts = Counter(words)
-                for w, k in ref.words.items():
-                    hist[i, k] = counts.get(w, 0)
-                hist[i, -1] = len(words) - hist[i].sum()
-                want[i, :len(ref.words)] = ref.word_share[:-1]
-                want[i, -1] = ref.word_share[-1]
-                ideal[i] = ref.class_share
-            n_words, n_chars = hist.sum(1), chars.sum(1)
-            by_class = js_distance(chars / np.maximum(n_chars, 1)[:, None], ideal)
-            by_word = js_distance(hist / np.maximum(n_words, 1)[:, None], want)
-            judged_c, judged_w = judged & (n_chars >= limits.min_chars), judged & (n_words >= limits.min_words)
-            bad = judged_c & (by_class > limits.class_limit + limits.class_slack / np.sqrt(np.maximum(n_chars, 1)))
-            bad |= judged_w & (by_word > limits.word_limit + limits.word_slack / np.sqrt(np.maximum(n_words, 1)))
-            failed = np.array(batch.column("base_failed").to_pylist(), bool)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(names).columns, pa.array(by_class, mask=~judged_c), pa.array(by_word, mask=~judged_w), pa.array(~failed & ~bad)],
-                names=[*names, *added])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in feats.select(*names).schema)
-    return joined.mapInArrow(run, f"{kept}, class_distance double, word_distance double, kept boolean")
+            refs: dict = {}
+            for block in blocks(batch, text):
+                yield pa.RecordBatch.from_arrays(
+                    [*block.select(names).columns, *judge(block, refs)], names=[*names, *counts, "base_failed", "class_distance", "word_distance", "kept"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    added = ", ".join(f"{n} bigint" for n in counts) + ", base_failed boolean, class_distance double, word_distance double, kept boolean"
+    return joined.mapInArrow(run, f"{kept}, {added}")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import text_bytes
+from stratafold.llm.common import blocks, encoded
 
 SHARD_BYTES = 4 << 20
 MOST_STRINGS = 64  # literal strings followed at once while reading an expression
@@ -255,13 +255,13 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scan_texts(batch.column("_bytes").to_pylist(), rules)
-            spans = pa.array([[{"kind": rules[k].name, "start": a, "end": b} for a, k, b in row] for row in found], kind)
-            rest = batch.drop_columns(["_bytes"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, spans], names=[*rest.schema.names, into])
+            for block in blocks(batch, text):
+                found = scan_texts(encoded(block.column(text)), rules)
+                spans = pa.array([[{"kind": rules[k].name, "start": a, "end": b} for a, k, b in row] for row in found], kind)
+                yield pa.RecordBatch.from_arrays([*block.select(keep).columns, spans], names=[*keep, into])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*keep, text_bytes(text).alias("_bytes")).mapInArrow(run, f"{kept}`{into}` array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*keep, *([] if text in keep else [F.col(text)])).mapInArrow(run, f"{kept}`{into}` array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
