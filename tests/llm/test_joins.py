@@ -92,6 +92,68 @@ def test_large_bucket_passes_pairs_on(spark, last):
     assert not (last and passed)
 
 
+def test_large_bucket_settles_in_part(spark):
+    """One bucket of near copies, drifting versions and strangers: the near copies rest, and no two alike sets are parted."""
+    rng = random.Random(14)
+    base = [rng.randrange(1 << 20) for _ in range(100)]
+    copies = [[rng.randrange(1 << 20) if rng.random() < 0.06 else x for x in base] for _ in range(60)]
+    drift = [[2_000_000 + (i + t) // 10 for t in range(10)] * 10 for i in range(40)]
+    half = [[x if t % 2 else rng.randrange(1 << 20) for t, x in enumerate(base)] for _ in range(3)]  # nearer than strangers, not alike
+    sketches = [np.array(s, np.uint32) for s in (*copies, *drift, *half, *([rng.randrange(1 << 20) for _ in range(100)] for _ in range(20)))]
+    rows = [(0, 1, b"%04d" % i, s.tobytes()) for i, s in enumerate(sketches)]
+    buckets = spark.createDataFrame(rows, "run int, path bigint, key binary, sketch binary")
+    out = chosen_path.compare_buckets(buckets, 100, 0.65, 24, False).collect()
+    passed = {bytes(r["a"]) for r in out if r["kind"] == 1}
+    graph = [(bytes(r["a"]), bytes(r["b"])) for r in out if r["kind"] == 0]
+    root = {r[2]: r[2] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in graph:
+        root[find(a)] = find(b)
+    assert not passed & {b"%04d" % i for i in range(60)} and len(passed) >= 23
+    for i in range(len(sketches)):
+        for j in range(i):
+            if (sketches[i] == sketches[j]).mean() >= 0.65:
+                a, b = b"%04d" % i, b"%04d" % j
+                assert find(a) == find(b) or {a, b} <= passed, (i, j)
+
+
+def test_recall_by_similarity(spark, make_docs):
+    """Thousands of near pairs, among them buckets over 64 sets: found in every band of similarity."""
+    rng = random.Random(31)
+    rows, groups = [], []
+    for size in [*[8] * 60, 150]:
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(160)]
+        own = []
+        for _ in range(size):
+            text = list(words)
+            for _ in range(rng.randint(0, 3)):
+                text[rng.randrange(len(text))] = f"x{rng.random()}"
+            own.append(len(rows))
+            rows.append((len(rows), " ".join(text)))
+        groups.append(own)
+    docs = make_docs(rows)
+    listed = chosen_path.embedded(docs, "doc_id", "text", 128, 5, 41).cache()
+    near = chosen_path.neighbourhoods(listed.select("key", "sketch").distinct(), 0.8, 128, 0.15, 64, 4, 0.995, 9, 6, 41)
+    root = {r["doc_id"]: bytes(r["root"]) for r in listed.join(near, listed["key"] == near["node"]).collect()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(156)} for i, t in rows}
+    bands = Counter()
+    for own in groups:
+        for a in own:
+            for b in own:
+                if a < b and sets[a] != sets[b]:
+                    alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                    if alike >= 0.8:
+                        band = 0.8 if alike < 0.85 else 0.85 if alike < 0.9 else 0.9
+                        bands[band, a in root and b in root and root[a] == root[b]] += 1
+    for band in (0.8, 0.85, 0.9):
+        found, missed = bands[band, True], bands[band, False]
+        assert found + missed > 300 and found >= 0.99 * (found + missed), (band, found, missed)
+
+
 def test_runs_until_recall(spark, make_docs, monkeypatch):
     """Where every set has a close copy, a single round of runs is not enough; pairs count by the runs that join them."""
     levels = []
