@@ -92,8 +92,10 @@ def test_large_bucket_passes_pairs_on(spark, last):
     assert not (last and passed)
 
 
-def test_large_bucket_settles_in_part(spark):
+@pytest.mark.parametrize("salt_rows", [30, 32_768])
+def test_large_bucket_settles_in_part(spark, monkeypatch, salt_rows):
     """One bucket of near copies, drifting versions and strangers: the near copies rest, and no two alike sets are parted."""
+    monkeypatch.setattr(chosen_path, "SALT_ROWS", salt_rows)
     rng = random.Random(14)
     base = [rng.randrange(1 << 20) for _ in range(100)]
     copies = [[rng.randrange(1 << 20) if rng.random() < 0.06 else x for x in base] for _ in range(60)]
