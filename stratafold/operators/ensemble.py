@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratafold.operators.ordering import largest_group
+from stratafold.operators.ordering import join_groups, largest_group, small_side
 from stratafold.operators.ranking import ranking_metrics, top_fraction
+from stratafold.session import cut
 
 # Coordinates of one sample may differ by this much between components (fixed value).
 COORDINATE_ATOL = 1e-6
@@ -75,6 +76,68 @@ def merge_components(
     return good, bad
 
 
+def _with_weights(df: DataFrame, names: Sequence[str], units: int) -> DataFrame:
+    """Every row once per weight vector, as whole numbers ``_u_<name>`` that sum to ``units``."""
+    out = df.withColumn("_left", F.lit(units))
+    for name in names[:-1]:
+        out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("_left"))).alias(f"_u_{name}")).withColumn(
+            "_left", F.col("_left") - F.col(f"_u_{name}"))
+    return out.withColumnRenamed("_left", f"_u_{names[-1]}")
+
+
+def precision_bounds(df: DataFrame, keys: Sequence[str], vector: Sequence[str], score: Column, label: str, bins: int) -> DataFrame:
+    """(keys, vector, low, high): bounds of average precision from counts of scores in ``bins`` equal parts of 0 to 1.
+
+    With n rows and p positives in a part, N rows and P positives above it, each of its positives counts at most
+    (P + p) / (N + p), and the i-th at least (P + i) / (N + n - p + i), whatever the order and the ties inside. Counts
+    combine before the shuffle; rows are never shuffled.
+    """
+    run = [*keys, *vector]
+    part = F.least(F.floor(score * bins), F.lit(bins - 1)).cast("int")
+    counts = df.groupBy(*run, part.alias("_part")).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_p"))
+    # At most ``bins`` rows a vector.
+    order = Window.partitionBy(*run).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_over", F.sum("_n").over(order) - F.col("_n")).withColumn("_hits", F.sum("_p").over(order) - F.col("_p"))
+    high = F.col("_p") * (F.col("_hits") + F.col("_p")) / F.greatest(F.col("_over") + F.col("_p"), F.lit(1))
+    below = F.col("_over") + F.col("_n") - F.col("_p")
+    # The sum of 1 / (below + i) is at most the logarithm.
+    low = F.when(below > 0, F.greatest(F.col("_p") - (below - F.col("_hits")) * F.log((below + F.col("_p")) / F.greatest(below, F.lit(1))), F.lit(0.0))).otherwise(F.col("_p"))
+    sums = counts.groupBy(*run).agg(F.sum("_p").alias("_all"), F.sum(low).alias("low"), F.sum(high).alias("high"))
+    positives = F.nullif(F.col("_all"), F.lit(0))
+    return sums.select(*run, (F.col("low") / positives).alias("low"), (F.col("high") / positives).alias("high"))
+
+
+def surviving_vectors(df: DataFrame, keys: Sequence[str], names: Sequence[str], ranks: Sequence[str], label: str, units: int, bins: Sequence[int]) -> DataFrame:
+    """(keys, ``_u_*``): the vectors whose average precision may be the best of their run, after histograms of ever finer ``bins``.
+
+    Runs without positives keep every vector.
+    """
+    keys, vector = list(keys), [f"_u_{n}" for n in names]
+    lean = df.select(*keys, label, *ranks)
+    left = None
+    for number in bins:
+        rows = _with_weights(lean, names, units) if left is None else _of_run(lean, left, keys, vector)
+        found = precision_bounds(rows, keys, vector, _score(names, ranks, units), label, number)
+        best = found.groupBy(*keys).agg(F.max("low").alias("_best"))
+        found = join_groups(found, best, keys)
+        left = cut(found.where(F.col("high").isNull() | (F.col("high") >= F.col("_best") - 1e-9)).select(*keys, *vector))
+    return left
+
+
+def _of_run(df: DataFrame, vectors: DataFrame, keys: Sequence[str], vector: Sequence[str]) -> DataFrame:
+    """Every row once per vector left for its run; a run's vectors (at most the grid) travel as one row."""
+    listed = vectors.groupBy(*keys).agg(F.collect_list(F.struct(*vector)).alias("_vectors"))
+    joined = join_groups(df, small_side(listed, F.size("_vectors")), keys)
+    return joined.select(*df.columns, F.inline("_vectors"))
+
+
+def _score(names: Sequence[str], ranks: Sequence[str], units: int) -> Column:
+    total = F.lit(0.0)
+    for name, rank in zip(names, ranks):
+        total = total + F.col(f"_u_{name}") / F.lit(float(units)) * F.col(rank)
+    return F.round(total, 12)
+
+
 def select_weights(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,35 +147,35 @@ def select_weights(
     step: float,
     prior_component: str | None = None,
     rows: int | None = None,
+    bins: Sequence[int] = (64, 1024),
 ) -> DataFrame:
     """Best weight vector per run by (AP, top-5 % capture, small prior weight, few parts, weights).
 
-    The grid is a per-row array (its size depends only on the step and the
-    number of components), so every vector is evaluated in one grouped pass.
+    Every vector of the grid is bounded from histograms of its scores, which costs no shuffle of rows; only vectors that
+    may be the best are then evaluated exactly. Ranks lie between 0 and 1.
     """
-    names = list(ranks)
-    prior_weight = F.col(f"w_{prior_component}") if prior_component else F.lit(0.0)
-    spark = df.sparkSession
-    vectors = [tuple(r) for r in weight_grid(spark, names, step).collect()]  # bounded by the step
-    grid = F.array(*[
-        F.struct(*[F.lit(float(w)).alias(f"w_{n}") for n, w in zip(names, v)]) for v in sorted(vectors)
-    ])
+    names, keys = list(ranks), list(keys)
+    units = round(1.0 / step)
+    if units < 1 or abs(units * step - 1.0) > 1e-9:
+        raise ValueError("the step must divide 1 evenly")
+    vector = [f"_u_{n}" for n in names]
     if rows is None:
         rows = largest_group(df, keys)
-    wide = df.select(*keys, row_id, label, *ranks.values(), F.inline(grid))
-    scored = wide.withColumn("_score", F.round(weighted_score(names, list(ranks.values())), 12))
-    run = [*keys, *[f"w_{n}" for n in names]]
+    left = surviving_vectors(df, keys, names, list(ranks.values()), label, units, bins)
+    wide = _of_run(df.select(*keys, row_id, label, *ranks.values()), left, keys, vector)
+    scored = wide.withColumn("_score", _score(names, list(ranks.values()), units))
+    run = [*keys, *vector]
     ap = ranking_metrics(scored, run, "_score", label, rows)
     top = top_fraction(scored, run, "_score", label, row_id, (0.05,), rows).select(*run, "capture")
     parts = F.lit(0)
-    for name in names:
-        parts = parts + F.when(F.col(f"w_{name}") > 0, 1).otherwise(0)
+    for name in vector:
+        parts = parts + F.when(F.col(name) > 0, 1).otherwise(0)
+    weights = [(F.col(f"_u_{n}") / F.lit(float(units))).alias(f"w_{n}") for n in names]
+    prior = F.col(f"_u_{prior_component}") if prior_component else F.lit(0)
     order = F.struct(
-        F.round("average_precision", 10), F.round("capture", 10), -prior_weight, -parts,
-        *[F.col(f"w_{n}") for n in names],
-    )
-    chosen = F.struct(*[F.col(f"w_{n}") for n in names], "average_precision", "capture")
-    best = ap.join(top, run).groupBy(*keys).agg(F.max_by(chosen, order).alias("_best"))
+        F.round("average_precision", 10).alias("_1"), F.round("capture", 10).alias("_2"), (-prior).alias("_3"), (-parts).alias("_4"), *weights)
+    chosen = F.struct(*weights, "average_precision", "capture")
+    best = join_groups(ap, top, run).groupBy(*keys).agg(F.max_by(chosen, order).alias("_best"))
     return best.select(*keys, "_best.*")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.operators.ordering import small_side
-from stratafold.session import int_conf
+from stratafold.session import cut, int_conf
 
 EDGES_PER_BAND = 64
 # Layers of at most this many edges are tested inside the projection, without a join.
@@ -293,10 +293,12 @@ def assign_zone(
 def add_distance(points: DataFrame, zones: DataFrame, point_id: str, out: str, x: str = "x", y: str = "y") -> DataFrame:
     """Add the exact distance to the union of zones, 0 inside.
 
-    Edges are filed at every level of a grid pyramid. The finest level at
-    which the cell of a point holds an edge bounds the distance; the exact
-    nearest edge is then among the 3 x 3 cells one level up. Cells, not
-    points, search the pyramid, and each cell keeps only edges that can win.
+    Edges are cut into pieces and filed in a grid pyramid, whose cells know the
+    box of what they hold. Cells of points, not points, search it from the top
+    level down: of the cells reached, those stay whose nearest corner is no
+    farther than the farthest of the best one, then their four children are
+    looked at. A far cell so follows a few cells a level, however many edges lie
+    behind them. The pieces of the last cells are held to the same bound.
     """
     layer = inline_layer(zones)
     if layer is not None:
@@ -313,7 +315,7 @@ def add_distance(points: DataFrame, zones: DataFrame, point_id: str, out: str, x
     extent = max(max(span[2], box[2]) - ox, max(span[3], box[3]) - oy, 1e-6)
     # Finest cells: about one edge each on a square layout; the pyramid ends at one cell.
     depth = 1
-    while 4 ** (depth - 1) < box[4] * 16 and depth < 14:
+    while 4 ** (depth - 1) < box[4] * 16:
         depth += 1
     fine = extent / 2 ** (depth - 1) * (1 + 1e-12)
     steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / fine)).cast("int")
@@ -329,48 +331,47 @@ def add_distance(points: DataFrame, zones: DataFrame, point_id: str, out: str, x
     axis = lambda lo, hi, o: F.sequence(
         F.floor((F.col(lo) - tiny - o) / fine).cast("bigint"), F.floor((F.col(hi) + tiny - o) / fine).cast("bigint"))
     filed = pieces.select("*", F.explode(axis("bx1", "bx2", ox)).alias("fx")).select("*", F.explode(axis("by1", "by2", oy)).alias("fy"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    filed = cut(filed)
 
     def lift(name):
         return F.floor(F.col(name) / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
 
-    occupied = filed.select("fx", "fy").distinct().select("fx", "fy", levels).select(
-        "level", lift("fx").alias("cx"), lift("fy").alias("cy")).distinct()
+    # Every occupied cell of every level with the box of what lies in it.
+    nodes = cut(filed.select("fx", "fy", "bx1", "by1", "bx2", "by2", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+                .groupBy("level", lift("fx").alias("cx"), lift("fy").alias("cy"))
+                .agg(F.min("bx1").alias("bx1"), F.min("by1").alias("by1"), F.max("bx2").alias("bx2"), F.max("by2").alias("by2")))
     near = points.select(
         point_id, F.col(x).alias("_x"), F.col(y).alias("_y"),
         F.floor((F.col(x) - ox) / fine).cast("bigint").alias("fx"), F.floor((F.col(y) - oy) / fine).cast("bigint").alias("fy"),
     )
-    cells = near.select("fx", "fy").distinct()
-    first = (
-        cells.select("fx", "fy", levels)
-        .withColumn("cx", lift("fx")).withColumn("cy", lift("fy"))
-        .join(small_side(occupied), ["level", "cx", "cy"], "left_semi")
-        .groupBy("fx", "fy").agg((F.min("level") + 1).alias("level"))
-    )
-    ring = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    asked = (
-        first.withColumn("cx", lift("fx")).withColumn("cy", lift("fy"))
-        .select("*", ring.alias("_dx")).select("*", ring.alias("_dy"))
-        .select("fx", "fy", "level", (F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cy") + F.col("_dy")).alias("cy"))
-    )
-    index = (
-        filed.select("x1", "y1", "x2", "y2", "bx1", "by1", "bx2", "by2", "fx", "fy",
-                     F.explode(F.sequence(F.lit(1), F.lit(depth + 1))).alias("level"))
-        .withColumn("cx", lift("fx")).withColumn("cy", lift("fy")).drop("fx", "fy").distinct()
-    )
-    found = asked.join(small_side(index), ["level", "cx", "cy"])
     left, bottom = F.col("fx") * F.lit(fine) + ox, F.col("fy") * F.lit(fine) + oy
     right, top = left + fine, bottom + fine
     gap = lambda lo, hi, a, b: F.greatest(F.lit(0.0), F.col(lo) - b, a - F.col(hi))
     reach = lambda lo, hi, a, b: F.greatest(F.abs(F.col(hi) - a), F.abs(b - F.col(lo)))
     gx, gy = gap("bx1", "bx2", left, right), gap("by1", "by2", bottom, top)
     rx, ry = reach("bx1", "bx2", left, right), reach("by1", "by2", bottom, top)
-    scored = found.select("fx", "fy", "x1", "y1", "x2", "y2", F.sqrt(gx * gx + gy * gy).alias("_near"), F.sqrt(rx * rx + ry * ry).alias("_far"))
-    best = scored.groupBy("fx", "fy").agg(F.min("_far").alias("_cap"))
-    winners = (
-        scored.join(best, ["fx", "fy"]).where(F.col("_near") <= F.col("_cap") + 2 * tiny)
-        .select("fx", "fy", "x1", "y1", "x2", "y2").distinct()
-    )
+
+    def can_win(found: DataFrame, kept: Sequence[str]) -> DataFrame:
+        """Rows whose box may hold the nearest edge of some point of the cell (fx, fy)."""
+        scored = found.select("fx", "fy", *kept, F.sqrt(gx * gx + gy * gy).alias("_near"), F.sqrt(rx * rx + ry * ry).alias("_far"))
+        best = scored.groupBy("fx", "fy").agg(F.min("_far").alias("_cap"))
+        return scored.join(best, ["fx", "fy"]).where(F.col("_near") <= F.col("_cap") + 2 * tiny).select("fx", "fy", *kept)
+
+    def at(level: int) -> DataFrame:
+        return small_side(nodes.where(F.col("level") == level).drop("level"))
+
+    def offsets(base: Column, *of: int) -> Column:
+        return F.explode(F.array(*[base + F.lit(i).cast("bigint") for i in of]))
+
+    cells = near.select("fx", "fy").distinct()
+    none = F.lit(0).cast("bigint")
+    front = cells.withColumn("cx", offsets(none, -1, 0, 1)).withColumn("cy", offsets(none, -1, 0, 1))
+    front = front.join(at(depth), ["cx", "cy"]).select("fx", "fy", "cx", "cy")
+    for level in range(depth - 1, -1, -1):
+        below = front.withColumn("cx", offsets(F.col("cx") * 2, 0, 1)).withColumn("cy", offsets(F.col("cy") * 2, 0, 1))
+        front = cut(can_win(below.join(at(level), ["cx", "cy"]), ["cx", "cy"]))
+    pieces = filed.select("x1", "y1", "x2", "y2", "bx1", "by1", "bx2", "by2", F.col("fx").alias("cx"), F.col("fy").alias("cy"))
+    winners = can_win(front.join(small_side(pieces), ["cx", "cy"]), ["x1", "y1", "x2", "y2"]).distinct()
     edge = F.struct("x1", "y1", "x2", "y2")
     gaps = near.join(winners, ["fx", "fy"]).select(point_id, _edge_gap2(edge, F.col("_x"), F.col("_y")).alias("_g"))
     nearest = gaps.groupBy(point_id).agg(F.sqrt(F.min("_g")).alias(out))

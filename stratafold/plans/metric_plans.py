@@ -191,7 +191,7 @@ def rank_normalize(spark, folder):
     return rank_columns(spark, folder).select("id", "realiz", "part", *r6("rank_a", "rank_b", "rank_c"))
 
 
-WEIGHTS = rank_sql("realiz, part") + """, wv AS (SELECT i / 4.0::DOUBLE AS w_a, j / 4.0::DOUBLE AS w_b, (4 - i - j) / 4.0::DOUBLE AS w_c FROM range(5) AS a(i), range(5) AS b(j) WHERE i + j <= 4),
+WEIGHTS = rank_sql("realiz, part") + """, wv AS (SELECT i / 20.0::DOUBLE AS w_a, j / 20.0::DOUBLE AS w_b, (20 - i - j) / 20.0::DOUBLE AS w_c FROM range(21) AS a(i), range(21) AS b(j) WHERE i + j <= 20),
  sc AS (SELECT realiz, w_a, w_b, w_c, id, label, round(w_a * rank_a + w_b * rank_b + w_c * rank_c, 12) AS s FROM rk, wv WHERE part = 'validation'),
  sg AS (SELECT realiz, w_a, w_b, w_c, s, count(*) AS n, sum(label) AS pos FROM sc GROUP BY ALL),
  sw AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM sg WINDOW w AS (PARTITION BY realiz, w_a, w_b, w_c ORDER BY s DESC)),
@@ -203,9 +203,12 @@ WEIGHTS = rank_sql("realiz, part") + """, wv AS (SELECT i / 4.0::DOUBLE AS w_a,
  best AS (SELECT realiz, w_a, w_b, w_c, ap, capture FROM pk WHERE rn = 1)"""
 
 
+STEP = 0.05  # of the weights (fixed value)
+
+
 def chosen_weights(ranked):
     valid = ranked.where(F.col("part") == "validation")
-    return ensemble.select_weights(valid, ["realiz"], "label", "id", {p: f"rank_{p}" for p in PARTS}, 0.25)
+    return ensemble.select_weights(valid, ["realiz"], "label", "id", {p: f"rank_{p}" for p in PARTS}, STEP)
 
 
 @plan("rank_ensemble_weights", with_views(WEIGHTS + " SELECT realiz, w_a, w_b, w_c, round(ap, 6) AS average_precision, round(capture, 6) AS capture FROM best", "v_comp"))
@@ -233,6 +236,34 @@ def mean_weights(spark, folder):
         F.count("*").alias("runs"), *[F.round(F.avg(f"w_{p}"), 6).alias(f"w_{p}") for p in PARTS])
 
 
+# The second variant: a prior as fourth component, equal to the third in half the runs, so that its small weight decides ties.
+PRIOR_SCORE = "CASE WHEN realiz % 2 = 0 THEN p_c ELSE CAST((id * 15485863) % 1013 AS DOUBLE) / 1013.0 END"
+PRIOR = f"""+v4 AS (SELECT *, {PRIOR_SCORE} AS p_g FROM v_comp), """ + rank_sql("realiz, part", [*PARTS, "g"])[1:].replace("FROM v_comp", "FROM v4") + """,
+ wv AS (SELECT i / 20.0::DOUBLE AS w_a, j / 20.0::DOUBLE AS w_b, k / 20.0::DOUBLE AS w_c, (20 - i - j - k) / 20.0::DOUBLE AS w_g FROM range(21) AS a(i), range(21) AS b(j), range(21) AS c(k) WHERE i + j + k <= 20),
+ sc AS (SELECT realiz, w_a, w_b, w_c, w_g, id, label, round(w_a * rank_a + w_b * rank_b + w_c * rank_c + w_g * rank_g, 12) AS s FROM rk, wv WHERE part = 'validation'),
+ sg AS (SELECT realiz, w_a, w_b, w_c, w_g, s, count(*) AS n, sum(label) AS pos FROM sc GROUP BY ALL),
+ sw AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM sg WINDOW w AS (PARTITION BY realiz, w_a, w_b, w_c, w_g ORDER BY s DESC)),
+ ap AS (SELECT realiz, w_a, w_b, w_c, w_g, sum(CAST(pos AS DOUBLE) * cp / cn) / sum(pos) AS ap FROM sw GROUP BY ALL),
+ tk AS (SELECT *, row_number() OVER (PARTITION BY realiz, w_a, w_b, w_c, w_g ORDER BY s DESC, id) AS rn, count(*) OVER (PARTITION BY realiz, w_a, w_b, w_c, w_g) AS n, sum(label) OVER (PARTITION BY realiz, w_a, w_b, w_c, w_g) AS tp FROM sc),
+ tc AS (SELECT realiz, w_a, w_b, w_c, w_g, sum(label) / greatest(1, max(tp)) AS capture FROM tk WHERE rn <= greatest(1, ceil(n * CAST(0.05 AS DOUBLE))) GROUP BY ALL),
+ pk AS (SELECT *, row_number() OVER (PARTITION BY realiz ORDER BY round(ap, 10) DESC, round(capture, 10) DESC, w_g, (CASE WHEN w_a > 0 THEN 1 ELSE 0 END + CASE WHEN w_b > 0 THEN 1 ELSE 0 END + CASE WHEN w_c > 0 THEN 1 ELSE 0 END + CASE WHEN w_g > 0 THEN 1 ELSE 0 END),
+   w_a DESC, w_b DESC, w_c DESC, w_g DESC) AS rn FROM ap JOIN tc USING (realiz, w_a, w_b, w_c, w_g))
+ SELECT realiz, w_a, w_b, w_c, w_g, round(ap, 6) AS average_precision, round(capture, 6) AS capture FROM pk WHERE rn = 1"""
+
+
+@plan("rank_ensemble_with_prior", with_views(PRIOR, "v_comp"))
+def rank_ensemble_with_prior(spark, folder):
+    """The second ensemble variant: four components, the prior's weight as small as ties allow."""
+    names = [*PARTS, "g"]
+    rows = view(spark, folder, "v_comp").withColumn("p_g", F.expr(PRIOR_SCORE.replace("CAST((id", "CAST((CAST(id AS BIGINT)"))).where("part = 'validation'")
+    most = largest_group(rows, ["realiz"])
+    for name in names:
+        rows = ranking.rank_normalize(rows, ["realiz"], f"p_{name}", f"rank_{name}", most)
+    ranks = {n: f"rank_{n}" for n in names}
+    best = ensemble.select_weights(cut(rows), ["realiz"], "label", "id", ranks, STEP, "g", most)
+    return best.select("realiz", *[f"w_{n}" for n in names], *r6("average_precision", "capture"))
+
+
 LONG = RANKED + """, bs AS (SELECT realiz, model, CASE WHEN max(label) > min(label) THEN avg((label - probability) * (label - probability)) END AS brier FROM v_pred GROUP BY realiz, model),
  lg AS (SELECT realiz, model, 'average_precision' AS metric, ap AS value FROM m UNION ALL SELECT realiz, model, 'roc_auc', auc FROM m UNION ALL SELECT realiz, model, 'brier', brier FROM bs)"""
 

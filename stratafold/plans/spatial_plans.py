@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratafold.functions import geodesy, keys, priors, text
-from stratafold.operators import audit, draws, grids, polygons, rasters
+from stratafold.operators import audit, draws, grids, polygons, rasters, topology
 from stratafold.plans.metric_plans import r6
 from stratafold.plans.views import view, with_views
 from stratafold.session import cut
@@ -82,6 +82,53 @@ def zone_distance(spark, folder):
     return polygons.add_distance(view(spark, folder, "v_point"), zones(spark, folder), "id", "distance").select("id", *r6("distance"))
 
 
+@plan("parcel_distance", with_views(f"+z AS (SELECT id, min({GAP}) AS d FROM v_point, v_parcel GROUP BY id) SELECT id, round(d, 6) AS distance FROM z", "v_point", "v_parcel"))
+def parcel_distance(spark, folder):
+    """Distances to a layer that grows with the data."""
+    parcels = polygons.rectangles(view(spark, folder, "v_parcel"))
+    return polygons.add_distance(view(spark, folder, "v_point"), parcels, "id", "distance").select("id", *r6("distance"))
+
+
+# Corners of a convex ring, scaled per zone and corner; every eleventh zone has two of them exchanged, every seventeenth folds back.
+CORNERS = [(10, 0), (9, 5), (5, 9), (0, 10), (-5, 9), (-9, 5), (-10, 0), (-9, -5), (-5, -9), (0, -10), (5, -9), (9, -5)]
+SIDES = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(CORNERS))
+RING_POINTS = f"""+vt AS (SELECT id AS zone_id, k, x + cx * f AS x, y + cy * f AS y FROM (SELECT id, x, y, k, 3 + (id * c) % 4 AS f, cx, cy FROM v_point,
+   (SELECT p AS k, c, cx, cy FROM range(12) AS r(p), (VALUES {SIDES}) AS v(c, cx, cy)) AS s
+   WHERE c = CASE WHEN id % 11 = 0 AND k = 3 THEN 8 WHEN id % 11 = 0 AND k = 8 THEN 3 WHEN id % 17 = 0 AND k = 6 THEN 4 ELSE k END)),
+ ed AS (SELECT a.zone_id, a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM vt a JOIN vt b ON a.zone_id = b.zone_id AND b.k = (a.k + 1) % 12),
+ pr AS (SELECT a.zone_id, a.k AS a_edge, b.k AS b_edge, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+   FROM ed a JOIN ed b ON a.zone_id = b.zone_id AND a.k < b.k),
+ sd AS (SELECT *, sign((ax2 - ax1) * (by1 - ay1) - (ay2 - ay1) * (bx1 - ax1)) AS s1, sign((ax2 - ax1) * (by2 - ay1) - (ay2 - ay1) * (bx2 - ax1)) AS s2,
+   sign((bx2 - bx1) * (ay1 - by1) - (by2 - by1) * (ax1 - bx1)) AS s3, sign((bx2 - bx1) * (ay2 - by1) - (by2 - by1) * (ax2 - bx1)) AS s4 FROM pr)
+ SELECT zone_id, CAST(a_edge AS INT) AS a_edge, CAST(b_edge AS INT) AS b_edge FROM sd WHERE CASE WHEN b_edge = a_edge + 1 OR (a_edge = 0 AND b_edge = 11)
+   THEN s1 = 0 AND s2 = 0 AND (least(greatest(ax1, ax2), greatest(bx1, bx2)) > greatest(least(ax1, ax2), least(bx1, bx2)) OR least(greatest(ay1, ay2), greatest(by1, by2)) > greatest(least(ay1, ay2), least(by1, by2)))
+   ELSE (s1 * s2 < 0 AND s3 * s4 < 0)
+     OR (s1 = 0 AND bx1 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by1 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2))
+     OR (s2 = 0 AND bx2 BETWEEN least(ax1, ax2) AND greatest(ax1, ax2) AND by2 BETWEEN least(ay1, ay2) AND greatest(ay1, ay2))
+     OR (s3 = 0 AND ax1 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay1 BETWEEN least(by1, by2) AND greatest(by1, by2))
+     OR (s4 = 0 AND ax2 BETWEEN least(bx1, bx2) AND greatest(bx1, bx2) AND ay2 BETWEEN least(by1, by2) AND greatest(by1, by2)) END"""
+
+
+def point_rings(spark, folder):
+    """A twelve-cornered ring around every point, some of them spoilt."""
+    listed = F.array(*[F.struct(F.lit(float(x)).alias("cx"), F.lit(float(y)).alias("cy")) for x, y in CORNERS])
+
+    def corner(k):
+        c = (F.when((F.col("id") % 11 == 0) & (k == 3), 8).when((F.col("id") % 11 == 0) & (k == 8), 3)
+             .when((F.col("id") % 17 == 0) & (k == 6), 4).otherwise(k))
+        size = 3 + (F.col("id") * c) % 4
+        return F.struct((F.col("x") + F.get(listed, c)["cx"] * size).alias("x"), (F.col("y") + F.get(listed, c)["cy"] * size).alias("y"))
+
+    places = F.array(*[F.lit(k) for k in (*range(12), 0)])
+    return view(spark, folder, "v_point").select(F.col("id").alias("zone_id"), F.array(F.transform(places, corner)).alias("rings"))
+
+
+@plan("ring_crossings", with_views(RING_POINTS, "v_point"))
+def ring_crossings(spark, folder):
+    """Edges that make the rings around points invalid."""
+    return topology.crossings(point_rings(spark, folder)).select("zone_id", "a_edge", "b_edge")
+
+
 @plan("zone_assign", with_views(f"+z AS (SELECT id, min(CASE WHEN {GAP} <= 0.01 THEN zone_id END) AS zone_id FROM v_point, v_zone GROUP BY id) SELECT id, zone_id FROM z WHERE zone_id IS NOT NULL", "v_point", "v_zone"))
 def zone_assign(spark, folder):
     return polygons.assign_zone(view(spark, folder, "v_point"), zones(spark, folder), "id").where("zone_id is not null").select("id", "zone_id")

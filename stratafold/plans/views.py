@@ -22,6 +22,9 @@ VIEWS = {
                CAST((n_nationkey*6007)%20000-(300+40*n_regionkey) AS DOUBLE) AS y1,
                CAST((n_nationkey*3571)%20000+(300+40*n_regionkey) AS DOUBLE) AS x2,
                CAST((n_nationkey*6007)%20000+(300+40*n_regionkey) AS DOUBLE) AS y2 FROM {nation}""",
+    "v_parcel": """
+        SELECT c_custkey AS zone_id, CAST((c_custkey*3571)%20000-(5+c_custkey%7) AS DOUBLE) AS x1, CAST((c_custkey*6007)%20000-(5+c_custkey%11) AS DOUBLE) AS y1,
+               CAST((c_custkey*3571)%20000+(5+c_custkey%7) AS DOUBLE) AS x2, CAST((c_custkey*6007)%20000+(5+c_custkey%11) AS DOUBLE) AS y2 FROM {customer}""",
     "v_pred": """
         SELECT event_id AS id, CAST(user_id%10 AS INT) AS realiz, event_type AS model,
                CASE WHEN (event_id*7919)%7=0 OR value>300 THEN 1 ELSE 0 END AS label,

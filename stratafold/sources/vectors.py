@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions import geodesy
-from stratafold.operators.polygons import ring_problems
+from stratafold.operators.topology import layer_problems
 
 POINT_FEATURES = (
     "features array<struct<geometry:struct<type:string,coordinates:array<double>>,properties:map<string,string>>>, "
@@ -67,7 +67,7 @@ def read_geojson_polygons(spark: SparkSession, path: str, crs: str | None = None
 def require_polygons(zones: DataFrame) -> DataFrame:
     if not zones.take(1):
         raise ValueError("the polygon layer is empty")
-    problem = ring_problems(zones).take(1)
+    problem = layer_problems(zones).take(1)
     if problem:
         raise ValueError(f"invalid polygon {problem[0]['zone_id']}: {problem[0]['problem']}")
     return zones
@@ -78,6 +78,17 @@ def require_crs(frame: DataFrame) -> None:
         raise ValueError("the layer declares no CRS and none is assumed")
 
 
+def require_metric_crs(frame: DataFrame) -> DataFrame:
+    """Reject a layer that is not in metres: the CRS must be a UTM zone by name or code, and no zone's coordinates may pass for degrees."""
+    named = geodesy.utm_zone(F.col("crs")).isNotNull() | F.regexp_like("crs", F.lit(r"(?i)\bepsg\W*32[67](0[1-9]|[1-5]\d|60)\b"))
+    odd = frame.where(~F.coalesce(named, F.lit(False))).select("crs").take(1)
+    if odd:
+        raise ValueError(f"no metric CRS: {odd[0]['crs']}")
+    if "rings" in frame.columns and frame.where(geodesy.plausible_lonlat(F.flatten("rings"))).take(1):
+        raise ValueError("the coordinates of a zone look like degrees, not metres")
+    return frame
+
+
 def align_crs(zones: DataFrame, target: str) -> DataFrame:
     """Reproject rings between UTM zones through degrees; other CRS pairs are an error."""
     same = F.col("crs") == target

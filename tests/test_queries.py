@@ -9,8 +9,8 @@ from stratafold.plans.registry import PLANS
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LARGE = [
-    "ap_by_model", "topk_capture", "rank_normalize", "rank_ensemble_weights", "ecdf", "distribution_summary", "holm_adjust",
-    "zone_flags", "zone_distance", "zone_assign", "balanced_draw", "positive_sample", "stratified_split", "best_checkpoint",
+    "ap_by_model", "topk_capture", "rank_normalize", "rank_ensemble_weights", "rank_ensemble_with_prior", "ecdf", "distribution_summary", "holm_adjust",
+    "zone_flags", "zone_distance", "parcel_distance", "zone_assign", "balanced_draw", "positive_sample", "stratified_split", "best_checkpoint",
 ]
 
 

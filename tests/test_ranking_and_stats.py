@@ -193,3 +193,30 @@ def test_exact_quantiles(spark, large, request):
     assert rows["b"]["m"] == 3.0
     for name, p in (("q", 0.05), ("m", 0.5), ("h", 0.95)):
         assert rows["a"][name] == pytest.approx(np.quantile(values, p))
+
+
+def test_histogram_bounds_hold_the_precision(spark):
+    """Bounds of every vector hold its exact average precision, with ties, and few vectors are evaluated."""
+    import random
+    rng = random.Random(12)
+    rows = [(i % 2, i, int(rng.random() < 0.2), round(rng.random(), 2), rng.random(), round(rng.random(), 1)) for i in range(1200)]
+    rows = [(k, i, y, min(1.0, a + 0.3 * y), b, c) for k, i, y, a, b, c in rows]
+    data = frame(spark, rows, "run long, id long, label int, rank_a double, rank_b double, rank_c double")
+    names, ranks, units = ["a", "b", "c"], ["rank_a", "rank_b", "rank_c"], 10
+    vector = [f"_u_{n}" for n in names]
+    wide = ensemble._with_weights(data, names, units).withColumn("s", ensemble._score(names, ranks, units))
+    exact = ranking.ranking_metrics(wide, ["run", *vector], "s", "label")
+    for bins in (4, 64):
+        bounds = ensemble.precision_bounds(wide, ["run"], vector, F.col("s"), "label", bins)
+        assert exact.join(bounds, ["run", *vector]).where("average_precision < low - 1e-12 OR average_precision > high + 1e-12").count() == 0
+    left = ensemble.surviving_vectors(data, ["run"], names, ranks, "label", units, (64, 1024))
+    assert 2 <= left.count() < 0.3 * 2 * 66
+    best = {r["run"]: r for r in ensemble.select_weights(data, ["run"], "label", "id", dict(zip(names, ranks)), 0.1).collect()}
+    top = {r["run"]: r["m"] for r in exact.groupBy("run").agg(F.max("average_precision").alias("m")).collect()}
+    assert {k: r["average_precision"] for k, r in best.items()} == top
+
+
+def test_weights_of_runs_without_positives(spark):
+    data = frame(spark, [(1, i, 0, i / 9, 1 - i / 9) for i in range(10)], "run long, id long, label int, rank_a double, rank_b double")
+    best = ensemble.select_weights(data, ["run"], "label", "id", {"a": "rank_a", "b": "rank_b"}, 0.5).first()
+    assert best["average_precision"] is None and best["w_a"] + best["w_b"] == 1

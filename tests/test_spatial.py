@@ -231,3 +231,73 @@ def test_many_edged_zones_meet_a_bounded_number_of_bands(spark, large_paths):
         assert got == {i for i, x, y in points if math.hypot(x, y) < 100 * math.cos(math.pi / n)} | {
             i for i, x, y in points if 100 * math.cos(math.pi / n) <= math.hypot(x, y) < 100 and i in got}
     assert max(met) <= 9
+
+
+def _rings(spark, rows):
+    return spark.createDataFrame(rows, "zone_id long, rings array<array<struct<x:double,y:double>>>")
+
+
+def test_layer_problems(spark):
+    from stratafold.operators import topology
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    hole = [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0), (1.0, 1.0)]
+    shifted = [(x + 2.5, y + 1.0) for x, y in hole]
+    corner = [(x + 3.0, y + 3.0) for x, y in hole]
+    rows = [
+        (1, [square]), (2, [[(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]]),  # a bow-tie
+        (3, [[(0.0, 0.0), (4.0, 0.0), (6.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]]),  # a spike
+        (4, [square, hole]), (5, [square, shifted]), (6, [square, corner]),  # inside, crossing, touching in a point
+        (7, [[(0.0, 0.0), (0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]]),  # a repeated vertex is no fault
+        (8, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 0.0), (0.0, 4.0), (0.0, 0.0)]]),  # a vertex on another edge
+        (9, None), (10, [square, [(4.0, 1.0), (6.0, 1.0), (6.0, 2.0), (4.0, 2.0), (4.0, 1.0)]])]  # empty; a shared stretch
+    found = {(r["zone_id"], r["problem"]) for r in topology.layer_problems(_rings(spark, rows)).collect()}
+    assert {z for z, p in found if p == "crossing"} == {2, 3, 5, 8, 10} and (9, "empty") in found
+
+
+def test_long_ring_meets_only_neighbours(spark):
+    """A ring of 20,000 edges beside one as long as itself: pairs stay in proportion to edges."""
+    import math
+
+    from stratafold.operators import topology
+    n = 20_000
+    ring = [(math.cos(2 * math.pi * i / n) * 1e4, math.sin(2 * math.pi * i / n) * 1e4) for i in range(n)]
+    fan = [(0.0, 0.0), (9e3, 0.0), (9e3, 1.0), (0.0, 2.0), (0.0, 0.0)]
+    zones = _rings(spark, [(1, [[*ring, ring[0]], fan])])
+    assert n <= topology.meeting_edges(zones).count() < 2 * n
+    assert topology.crossings(zones).count() == 0
+
+
+def test_far_points_follow_few_cells(spark, large_paths, monkeypatch):
+    """Distances to a ring of 4,000 edges from near and far; a cell of points holds a bounded number of cells a level."""
+    import math
+
+    from stratafold.operators import polygons
+    n = 4_000
+    ring = [(math.cos(2 * math.pi * i / n) * 1e3, math.sin(2 * math.pi * i / n) * 600) for i in range(n)]
+    points = [(0, 0.0, 0.0), (1, 5e4, 0.0), (2, -5e4, 4e4), (3, 0.0, 601.0), (4, 990.0, 100.0)]
+    sizes, cut = [], polygons.cut
+    monkeypatch.setattr(polygons, "cut", lambda df: (lambda out: (sizes.append(out.count()) if set(out.columns) == {"fx", "fy", "cx", "cy"} else None, out)[1])(cut(df)))
+    out = polygons.add_distance(spark.createDataFrame(points, "id long, x double, y double"), _rings(spark, [(1, [[*ring, ring[0]]])]), "id", "d")
+    got = {r["id"]: r["d"] for r in out.collect()}
+
+    def gap(x, y):
+        best = math.inf
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
+            dx, dy = bx - ax, by - ay
+            t = min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+            best = min(best, math.hypot(x - ax - t * dx, y - ay - t * dy))
+        return best
+
+    for i, x, y in points:
+        assert got[i] == (0.0 if i in (0,) or (x / 1e3) ** 2 + (y / 600) ** 2 < 0.99 else pytest.approx(gap(x, y), abs=1e-6))
+    assert sizes and max(sizes) < 60 * len(points)
+
+
+def test_metric_crs(spark):
+    from stratafold.sources import vectors
+    make = lambda crs, x: spark.createDataFrame([(1, [[(x, 1.0), (x + 1, 1.0), (x, 2.0), (x, 1.0)]], crs)], "zone_id long, rings array<array<struct<x:double,y:double>>>, crs string")
+    for crs in ("EPSG:32733", "WGS 84 / UTM zone 33S"):
+        vectors.require_metric_crs(make(crs, 500_000.0))
+    for crs, x in (("EPSG:4326", 500_000.0), (None, 500_000.0), ("EPSG:32733", 13.0)):
+        with pytest.raises(ValueError):
+            vectors.require_metric_crs(make(crs, x))
