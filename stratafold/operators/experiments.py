@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.functions.text import to_number
-from stratafold.operators.ordering import prefix_totals
+from stratafold.operators.ordering import join_groups, prefix_totals
 
 # Statuses of a finished run; smallest gain that counts as progress (fixed values).
 DONE = ("completed", "skipped_complete")
@@ -84,13 +84,50 @@ def finished(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("status").isin(*DONE))
 
 
+def _replayed(records: DataFrame, keys: Sequence[str], patience: int) -> DataFrame:
+    """(keys, _best, _last, _stop): the early-stop rule over each run's running maxima (_at, _s), one state at a time."""
+    names = [*keys, "_best", "_last", "_stop"]
+
+    def run(batches):
+        import pyarrow as pa
+        group, best, last, stop, kinds = None, None, 0, None, None
+        done = []
+
+        def out():
+            arrays = [pa.array([r[0][i] for r in done], kind) for i, kind in enumerate(kinds)]
+            arrays += [pa.array([r[i] for r in done], kind) for i, kind in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            for *own, at, score in zip(*(batch.column(c).to_pylist() for c in (*keys, "_at", "_s"))):
+                if own != group:
+                    if group is not None:
+                        done.append((group, best, last, stop))
+                    group, best, last, stop = own, None, 0, None
+                if stop is None and at > last + patience:
+                    stop = last + patience
+                if stop is None and (best is None or score > best + MIN_GAIN):
+                    best, last = score, at
+            if done:
+                yield out()
+        if group is not None:
+            done.append((group, best, last, stop))
+            yield out()
+
+    dealt = records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else records.repartition(1)
+    declared = "".join(f"`{k}` {records.schema[k].dataType.simpleString()}, " for k in keys)
+    return dealt.sortWithinPartitions(*keys, "_at").mapInArrow(run, f"{declared}_best double, _last bigint, _stop bigint")
+
+
 def best_checkpoint(history: DataFrame, keys: Sequence[str], epoch: str, score: str, patience: int, rows: int | None = None) -> DataFrame:
     """(keys, best_epoch, best_score, stop_epoch) of an early-stopped run.
 
     A score improves when it beats the last improvement by more than 1e-6;
     missing scores never do. The run stops ``patience`` epochs after its last
     improvement. Every improvement is a new running maximum, so the sequential
-    rule is replayed over those rows only.
+    rule is replayed over those rows only, as a stream that holds one state.
     """
     keys = list(keys)
     value = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score).cast("double"))
@@ -99,22 +136,12 @@ def best_checkpoint(history: DataFrame, keys: Sequence[str], epoch: str, score:
         data, keys, [F.col("_e").asc()], maxima={"_max": F.col("_s")}, totals={"_end": F.lit(1).cast("bigint")}, position="_at", rows=rows)
     # The first row that reaches each maximum value.
     records = placed.where(F.col("_s") == F.col("_max")).groupBy(*keys, "_s").agg(F.min("_at").alias("_at"), F.max("_end").alias("_end"))
-    records = records.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_r"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("stop"))
-
-    def step(state, rec):
-        late = F.coalesce(state["stop"], F.when(rec["_at"] > state["last"] + patience, state["last"] + patience))
-        better = late.isNull() & (state["best"].isNull() | (rec["_s"] > state["best"] + MIN_GAIN))
-        return F.struct(
-            F.when(better, rec["_s"]).otherwise(state["best"]).alias("best"),
-            F.when(better, rec["_at"]).otherwise(state["last"]).alias("last"), late.alias("stop"))
-
+    states = _replayed(records.select(*keys, "_s", "_at"), keys, patience)
     ends = placed.groupBy(*keys).agg(F.max("_end").alias("_end"))
-    joined = ends.join(records, keys, "left") if keys else ends.join(F.broadcast(records), how="left")
-    final = joined.withColumn("_t", F.coalesce(F.aggregate("_r", start, step), start))
-    stop = F.coalesce(F.col("_t.stop"), F.least(F.col("_end"), F.col("_t.last") + patience))
-    final = final.select(*keys, F.col("_t.best").alias("best_score"), F.col("_t.last").alias("_last"), stop.alias("_stop"))
+    joined = join_groups(ends, states, keys) if keys else ends.join(F.broadcast(states), how="left")  # one row
+    last = F.coalesce("_last", F.lit(0))
+    stop = F.coalesce("_stop", F.least(F.col("_end"), last + patience))
+    final = joined.select(*keys, F.col("_best").alias("best_score"), last.alias("_last"), stop.alias("_stop"))
     at = placed.select(*keys, "_at", "_e").join(final, keys) if keys else placed.select("_at", "_e").join(F.broadcast(final))
     return at.where(F.col("_at").isin(F.col("_last"), F.col("_stop"))).groupBy(*keys, "best_score").agg(
         F.max(F.when(F.col("_at") == F.col("_last"), F.col("_e"))).alias("best_epoch"),

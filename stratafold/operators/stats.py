@@ -235,6 +235,22 @@ def bootstrap_mean_ci(
     return join_groups(base, exact_quantiles(sums, keys, "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws), keys)
 
 
+def bootstrap_means_ci(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], row_id: str, *, draws: int = 10_000, seed: int = 2026,
+) -> DataFrame:
+    """(keys, metric, ci_low, ci_high): percentile intervals of the means of many columns over the same resamples.
+
+    A row's Poisson count of a replicate serves all its columns. NULL values take no part in their column's mean.
+    """
+    keys = list(keys)
+    spread = df.select(*keys, row_id, *values, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep"))
+    spread = spread.withColumn("_w", poisson_weight(uniform(seed, "poisson", *[F.col(k) for k in keys], F.col("_rep"), F.col(row_id))))
+    means = spread.groupBy(*keys, "_rep").agg(*[
+        (F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))), F.lit(0))).alias(v) for v in values])
+    tall = means.unpivot([*keys, "_rep"], list(values), "metric", "_mean")
+    return exact_quantiles(tall, [*keys, "metric"], "_mean", {"ci_low": 0.025, "ci_high": 0.975}, rows=draws)
+
+
 def metric_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, sample sd (0 for one run), median, quartiles and extremes per group."""
     base = df.groupBy(*keys).agg(

@@ -264,28 +264,56 @@ def rank_ensemble_with_prior(spark, folder):
     return best.select("realiz", *[f"w_{n}" for n in names], *r6("average_precision", "capture"))
 
 
-LONG = RANKED + """, bs AS (SELECT realiz, model, CASE WHEN max(label) > min(label) THEN avg((label - probability) * (label - probability)) END AS brier FROM v_pred GROUP BY realiz, model),
- lg AS (SELECT realiz, model, 'average_precision' AS metric, ap AS value FROM m UNION ALL SELECT realiz, model, 'roc_auc', auc FROM m UNION ALL SELECT realiz, model, 'brier', brier FROM bs)"""
+POISSON_CASE = "CASE " + " ".join(f"WHEN u >= CAST({step!r} AS DOUBLE) THEN {count}" for count, step in reversed(list(enumerate(stats.POISSON_STEPS, start=1)))) + " ELSE 0 END"
+SCORED = ["average_precision", "roc_auc", "brier", "balanced_accuracy", "mcc", "precision", "recall", "f1"]
+TOP = [f"top_{100 * f:02.0f}pct_{kind}" for f in (0.01, 0.05, 0.1) for kind in ("capture", "precision")]
+AXIS = ["average_precision", "roc_auc", "mcc", "recall", "precision", "f1", "brier"]  # summed up by axis (fixed choice)
+LONG = RANKED + ", " + CELLS[1:] + """, sm AS (SELECT realiz, model, CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN brier END AS brier,
+ coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+ (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / (CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tn + fp > 0 THEN 1 ELSE 0 END) AS balanced_accuracy,
+ coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE)) * sqrt(CAST(tp + fn AS DOUBLE)) * sqrt(CAST(tn + fp AS DOUBLE)) * sqrt(CAST(tn + fn AS DOUBLE)), 0), 0) AS mcc FROM q),
+ ol AS (SELECT *, row_number() OVER (PARTITION BY realiz, model ORDER BY probability DESC, id) AS rn FROM v_pred),
+ kl AS (SELECT realiz, model, tp + fn AS tp, f, CAST(greatest(1, ceil(n * f)) AS BIGINT) AS k FROM q, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) AS v(f)),
+ hl AS (SELECT kl.realiz, kl.model, f, k, tp, CAST(sum(label) AS BIGINT) AS hit FROM kl JOIN ol ON ol.realiz = kl.realiz AND ol.model = kl.model AND rn <= k GROUP BY ALL),
+ lg AS (SELECT realiz, model, 'average_precision' AS metric, ap AS value FROM m UNION ALL SELECT realiz, model, 'roc_auc', auc FROM m""" + "".join(
+    f" UNION ALL SELECT realiz, model, '{c}', {c} FROM sm" for c in SCORED[2:]) + """
+   UNION ALL SELECT realiz, model, 'top_' || lpad(CAST(CAST(100 * f AS INT) AS VARCHAR), 2, '0') || 'pct_capture', hit / greatest(1, tp) FROM hl
+   UNION ALL SELECT realiz, model, 'top_' || lpad(CAST(CAST(100 * f AS INT) AS VARCHAR), 2, '0') || 'pct_precision', hit / k FROM hl)"""
+
+
+def wide_metrics(spark, folder):
+    """All metrics of every run, one row a run."""
+    pred = view(spark, folder, "v_pred")
+    cells = classify.threshold_metrics(pred, RUN, "probability", "label").select(*RUN, *SCORED[2:])
+    named = F.concat(F.lit("top_"), F.lpad(F.round(F.col("fraction") * 100).cast("int").cast("string"), 2, "0"), F.lit("pct"))
+    top = ranking.top_fraction(pred, RUN, "probability", "label", "id").withColumn("_f", named)
+    top = top.groupBy(*RUN).agg(*[F.max(F.when(F.col("_f") == name.rsplit("_", 1)[0], F.col(name.rsplit("_", 1)[1]))).alias(name) for name in TOP])
+    return cut(metrics(spark, folder).select(*RUN, *SCORED[:2]).join(cells, RUN).join(top, RUN))
 
 
-def long_metrics(spark, folder):
-    pred = view(spark, folder, "v_pred")
-    brier = classify.threshold_metrics(pred, RUN, "probability", "label").select(*RUN, "brier")
-    wide = metrics(spark, folder).join(brier, RUN)
-    return wide.unpivot(RUN, ["average_precision", "roc_auc", "brier"], "metric", "value")
+INTERVALS = f"""u AS (SELECT realiz, model, rep, ('0x' || substr(md5('2026|poisson|' || model || '|' || rep || '|' || realiz), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) AS u FROM m, range(10000) AS t(rep)),
+ pw AS (SELECT realiz, model, rep, {POISSON_CASE} AS w FROM u),
+ bm AS (SELECT model, metric, rep, sum(w * value) / nullif(sum(w) FILTER (value IS NOT NULL), 0) AS mean FROM lg JOIN pw USING (realiz, model) GROUP BY model, metric, rep),
+ bq AS (SELECT model, metric, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm GROUP BY model, metric)"""
 
 
-@plan("metric_summary_long", with_views(LONG + """ SELECT model, metric, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd,
- round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM lg GROUP BY model, metric""", "v_pred"))
+@plan("metric_summary_long", with_views(LONG + ", " + INTERVALS + """ SELECT model, metric, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd,
+ round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(max(ci_low), 6) AS ci_low, round(max(ci_high), 6) AS ci_high
+ FROM lg JOIN bq USING (model, metric) GROUP BY model, metric""", "v_pred"))
 def metric_summary_long(spark, folder):
-    return stats.metric_summary(long_metrics(spark, folder), ["model", "metric"], "value").select(
-        "model", "metric", "n", *r6("mean", "sd", "q1", "median", "q3"))
+    """Eight metrics and the captures and precisions at three depths, each with its bootstrap interval."""
+    wide = wide_metrics(spark, folder)
+    rows = wide.unpivot(RUN, [*SCORED, *TOP], "metric", "value")
+    summary = stats.metric_summary(rows, ["model", "metric"], "value")
+    intervals = stats.bootstrap_means_ci(wide, ["model"], [*SCORED, *TOP], "realiz")
+    return summary.join(intervals, ["model", "metric"], "left").select("model", "metric", "n", *r6("mean", "sd", "q1", "median", "q3", "ci_low", "ci_high"))
 
 
-@plan("axis_summary", with_views(LONG + """ SELECT CASE WHEN realiz < 5 THEN 'first' ELSE 'second' END AS axis, model AS variant, metric, count(value) AS n, round(avg(value), 6) AS mean,
- round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max FROM lg GROUP BY ALL""", "v_pred"))
+@plan("axis_summary", with_views(LONG + f""" SELECT CASE WHEN realiz < 5 THEN 'first' ELSE 'second' END AS axis, model AS variant, metric, count(value) AS n, round(avg(value), 6) AS mean,
+ round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max FROM lg WHERE metric IN ({", ".join(repr(x) for x in AXIS)}) GROUP BY ALL""", "v_pred"))
 def axis_summary(spark, folder):
-    rows = long_metrics(spark, folder).withColumn("axis", F.when(F.col("realiz") < 5, "first").otherwise("second"))
+    rows = wide_metrics(spark, folder).unpivot(RUN, AXIS, "metric", "value")
+    rows = rows.withColumn("axis", F.when(F.col("realiz") < 5, "first").otherwise("second"))
     return rows.groupBy("axis", F.col("model").alias("variant"), "metric").agg(
         F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"),
         F.round(F.min("value"), 6).alias("min"), F.round(F.max("value"), 6).alias("max"))
@@ -353,9 +381,6 @@ def jarque_bera(spark, folder):
     return stats.jarque_bera(view(spark, folder, "v_metric"), ["model"], "metric").select("model", "n", *r6("statistic", "p_value"))
 
 
-POISSON_CASE = "CASE " + " ".join(f"WHEN u >= CAST({step!r} AS DOUBLE) THEN {count}" for count, step in reversed(list(enumerate(stats.POISSON_STEPS, start=1)))) + " ELSE 0 END"
-
-
 @plan("bootstrap_ci", with_views(f"""+u AS (SELECT model, metric, rep, ('0x' || substr(md5('2026|poisson|' || model || '|' || rep || '|' || realiz), 1, 13))::BIGINT / CAST(4503599627370496 AS DOUBLE) AS u FROM v_metric, range(10000) AS t(rep)),
  w AS (SELECT *, {POISSON_CASE} AS w FROM u),
  d AS (SELECT model, rep, sum(w * metric) / nullif(sum(w), 0) AS mean FROM w GROUP BY model, rep),

@@ -14,7 +14,7 @@ from stratafold.operators.ordering import prefix_totals
 from stratafold.plans.metric_plans import RANKED, RUN, metrics, r6
 from stratafold.plans.spatial_plans import NAMES, raster_meta
 from stratafold.plans.views import table, view, with_views
-from stratafold.session import cut
+from stratafold.session import cut, shared_folder
 from stratafold.sources import files, rasters, vectors
 from stratafold.streaming import moments
 
@@ -496,15 +496,15 @@ def algorithm_labels(spark, folder):
 
 @plan("streamed_moments", with_views("""+z AS (SELECT 1) SELECT CAST(event_id % 500 AS BIGINT) AS cell, count(value) AS members, round(avg(value / 500.0), 9) AS mean, round(coalesce(stddev_samp(value / 500.0), 0), 9) AS std FROM events GROUP BY event_id % 500""", "v_zone"))
 def streamed_moments(spark, folder):
-    """Moments per cell over the event file as a stream, run to the end of what has arrived."""
+    """Moments per cell over the event file as a stream: changed cells go into a versioned table, and a second start finds nothing new."""
     schema = table(spark, folder, "events").schema
-    stream = moments.read_members(spark, f"{folder}/events.parque[t]", schema)
-    state = moments.running_moments(
-        stream.select((F.col("event_id") % 500).alias("cell"), (F.col("value") / 500.0).alias("probability")), ["cell"])
-    name = f"moments_{uuid.uuid4().hex}"
-    query = state.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("cell", "members", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    place = f"{shared_folder(spark)}/moments-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stream = moments.read_members(spark, folder, schema, name="events.parquet")
+        state = moments.running_moments(
+            stream.select((F.col("event_id") % 500).alias("cell"), (F.col("value") / 500.0).alias("probability")), ["cell"])
+        moments.start(state, f"{place}/state", moments.versioned(f"{place}/table", ["cell"])).awaitTermination()
+    return moments.latest(spark, f"{place}/table", state.schema).select("cell", "members", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 # ---- models: what holds for every fit ---------------------------------------

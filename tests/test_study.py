@@ -330,3 +330,33 @@ def test_neighbour_features_against_brute_force(spark):
         _, cx, cy, own = cells[r["cell"] - 1000]
         near = sorted(known, key=lambda p: math.hypot(p[1] - cx, p[2] - cy))[:3]
         assert r["features"] == [own, pytest.approx(np.mean([p[3] for p in near]))]
+
+
+def test_versioned_sink_survives_a_restart(spark, tmp_path):
+    """Two batches with a restart between them, and a batch that runs twice, leave the moments of all members."""
+    source, place = str(tmp_path / "members"), str(tmp_path / "store")
+    frames = {m: [(m, 0, c, 0.1 * (m + c)) for c in range(m, 4)] for m in range(3)}
+    for member, rows in frames.items():
+        spark.createDataFrame(rows, moments.MEMBER_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        state = moments.running_moments(moments.read_members(spark, source))
+        sink = moments.versioned(place, ["r", "c"])
+
+        def twice(batch, epoch):
+            sink(batch, epoch)
+            sink(batch, epoch)
+
+        moments.start(state, str(tmp_path / "state"), twice).awaitTermination()
+    got = {r["c"]: (r["members"], r["mean"]) for r in moments.latest(spark, place, state.schema).collect()}
+    for c in range(4):
+        own = [v for rows in frames.values() for _, _, x, v in rows if x == c]
+        assert got[c] == (len(own), pytest.approx(sum(own) / len(own)))
+
+
+def test_early_stop_over_a_series_that_always_improves(spark):
+    """Every epoch is a record, and no list of them is built."""
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") % 2).alias("run"), "id", (F.col("id") * 1.0).alias("score"))
+    got = {r["run"]: r for r in experiments.best_checkpoint(rows, ["run"], "id", "score", 5).collect()}
+    assert {k: (r["best_epoch"], r["stop_epoch"], r["best_score"]) for k, r in got.items()} == {k: (n - 2 + k, n - 2 + k, float(n - 2 + k)) for k in (0, 1)}
+    alone = experiments.best_checkpoint(rows.drop("run"), [], "id", "score", 5).first()
+    assert (alone["best_epoch"], alone["stop_epoch"]) == (n - 1, n - 1)
