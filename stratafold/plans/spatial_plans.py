@@ -15,7 +15,7 @@ SEED = 2026
 NAMES = ["acct", "price"]
 # Zones 0-7 are known deposits, 8-15 structures, 16-24 lithology in the fixture.
 GROUPS = {"mine": (0, 7), "structure": (8, 15), "lithology": (16, 24)}
-THIN, BLOCK, REALIZATIONS = 250.0, 2000.0, 3
+THIN, BLOCK, REALIZATIONS = 250.0, 2000.0, 10
 DESIGN = priors.DrawDesign(cell=THIN, block=BLOCK, draws=REALIZATIONS)
 
 

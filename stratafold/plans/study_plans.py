@@ -189,12 +189,12 @@ def knn_feature_mean(spark, folder):
     return means.select("id", F.posexplode("mean").alias("i", "mean")).select("id", (F.col("i") + 1).cast("bigint").alias("dim"), *r6("mean"))
 
 
-@plan("ego_graph", f"""WITH {EMB}, q AS (SELECT id, v[1:2] AS p, v[1:4] AS f FROM em), d AS (SELECT a.id AS id, b.id AS rid, b.f AS f, pow(a.p[1] - b.p[1], 2) + pow(a.p[2] - b.p[2], 2) AS g FROM q a, q b WHERE a.id <> b.id),
+@plan("ego_graph", f"""WITH {EMB}, q AS (SELECT id, v[1:2] AS p, v AS f FROM em), d AS (SELECT a.id AS id, b.id AS rid, b.f AS f, pow(a.p[1] - b.p[1], 2) + pow(a.p[2] - b.p[2], 2) AS g FROM q a, q b WHERE a.id <> b.id),
  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY g, rid) AS rn FROM d WHERE true QUALIFY rn <= {K}), g AS (SELECT id, 0 AS rn, f FROM q UNION ALL SELECT id, rn, f FROM k),
  e AS (SELECT id, rn, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM g) SELECT id, CAST(rn AS BIGINT) AS rank, i AS dim, round(x, 6) AS value FROM e""")
 def ego_graph(spark, folder):
-    """Spatial neighbours without self; the first row of each graph is the query itself."""
-    data = vectors_of(spark, folder).select("id", F.slice("vec", 1, 2).alias("vec"), F.slice("vec", 1, 4).alias("feat"))
+    """Neighbours without self by the two entries that stand for coordinates, with all features; the first row of each graph is the query itself."""
+    data = vectors_of(spark, folder).select("id", F.slice("vec", 1, 2).alias("vec"), F.col("vec").alias("feat"))
     found = neighbours.knn_join(data, data, K, payload="feat", exclude_self=True)
     graphs = neighbours.ego_graphs(data, found, "id", "feat", "feat")
     rows = graphs.select("id", F.posexplode("graph").alias("rank", "f")).select("id", "rank", F.posexplode("f").alias("i", "value"))
