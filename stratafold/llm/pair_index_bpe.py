@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from stratafold.llm.common import blobs, blocks, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-BLOCK_BYTES = 4 << 20
-HELD_BYTES = 96 << 20
+BLOCK_BYTES = 2 << 20
+HELD_BYTES = 40 << 20
 
 
 def file_of(vocabulary: str) -> str:
