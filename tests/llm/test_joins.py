@@ -123,6 +123,30 @@ def test_large_bucket_settles_in_part(spark, monkeypatch, salt_rows):
                 assert find(a) == find(b) or {a, b} <= passed, (i, j)
 
 
+@pytest.mark.parametrize("levels", [2, 4])
+def test_descent_inside_a_task(levels):
+    """At the last level two alike rows of one child are in one component; above it they are, or both go on."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 20, 64)
+    rows = [np.where(rng.random(64) < share, rng.integers(0, 1 << 20, 64), base) for share in np.repeat([0.05, 0.3, 0.5, 0.9], 60)]
+    rows += [np.array([2_000_000 + (i + t) // 10 for t in range(16)] * 4) for i in range(80)]
+    sketches = np.array(rows, np.uint32)
+    label = np.arange(len(rows))
+    for own, others, alike, to, _ in chosen_path.descend(sketches, np.arange(len(rows)), 77, 2, levels, 0.65, 8, 0.1, 3):
+        assert alike.shape == (len(own), len(others))
+        chosen_path.join_labels(label, own, to)
+    assert (label[label] == label).all()
+    row, child = chosen_path.children(sketches, np.full(len(rows), 77, np.uint64), 2, 0.1, 3)
+    shared = missed = 0
+    for path in np.unique(child):
+        own = np.unique(row[child == path])
+        alike = chosen_path.agreement(sketches[own], sketches[own]) >= 0.65
+        for i, j in np.argwhere(np.triu(alike, 1)):
+            shared += 1
+            missed += label[own[i]] != label[own[j]]
+    assert shared > 1000 and (missed == 0 if levels == 2 else missed < 0.02 * shared)
+
+
 def test_recall_by_similarity(spark, make_docs):
     """Thousands of near pairs, among them buckets over 64 sets: found in every band of similarity."""
     rng = random.Random(31)
@@ -323,7 +347,7 @@ def test_pipeline_rereads_stages(spark, make_docs, monkeypatch, tmp_path):
 def test_every_query_is_registered():
     import __spark_entry__ as contract
     names = contract.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")}
     assert "pipeline" in names
 
 
