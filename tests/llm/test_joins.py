@@ -65,6 +65,16 @@ def test_near_duplicates(make_docs, awkward, small):
     assert sorted(got, key=repr) == plain_near(rows)
 
 
+@pytest.mark.parametrize(("block", "block_bytes"), [(16, 8 << 20), (2048, 4096)])
+def test_near_duplicates_in_many_blocks(make_docs, monkeypatch, block, block_bytes):
+    """Blocks bounded by sets or by bytes: the same links and classes."""
+    monkeypatch.setattr(chosen_path, "BLOCK", block)
+    monkeypatch.setattr(chosen_path, "BLOCK_BYTES", block_bytes)
+    rows = near_rows(random.Random(22))
+    got = [(r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in chosen_path.near_duplicates(make_docs(rows)).collect()]
+    assert sorted(got, key=repr) == plain_near(rows)
+
+
 @pytest.mark.parametrize("last", [False, True])
 def test_large_bucket_passes_pairs_on(spark, last):
     """Drifting versions: neighbours are at 0.9, few are like a pivot; one bucket of close sets beside it settles."""
