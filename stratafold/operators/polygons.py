@@ -388,6 +388,16 @@ def bounds(df: DataFrame, keys: Sequence[str] = (), x: str = "x", y: str = "y")
     )
 
 
+def within_bounds(df: DataFrame, boxes: DataFrame, keys: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of ``df`` inside the box of their keys, edges included; without keys ``boxes`` is the one row of ``bounds``.
+
+    A NULL coordinate, a box without points (NULL bounds) and keys without a box keep nothing.
+    """
+    named = boxes.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("min_x", "min_y", "max_x", "max_y")])
+    met = df.join(named, list(keys)) if keys else df.join(F.broadcast(named))
+    return met.where(F.col(x).between(F.col("_min_x"), F.col("_max_x")) & F.col(y).between(F.col("_min_y"), F.col("_max_y"))).select(*df.columns)
+
+
 def dedupe(zones: DataFrame) -> DataFrame:
     """One zone per identical geometry (smallest id)."""
     return zones.groupBy(F.sha2(F.to_json("rings"), 256).alias("_shape")).agg(

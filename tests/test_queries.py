@@ -42,7 +42,7 @@ def test_no_collect_of_rows_in_plans():
     """Plans never turn a whole result into driver rows."""
     import inspect
 
-    from stratafold.plans import metric_plans, spatial_plans, study_plans
-    for module in (metric_plans, spatial_plans, study_plans):
+    from stratafold.plans import metric_plans, run_plans, spatial_plans, study_plans
+    for module in (metric_plans, run_plans, spatial_plans, study_plans):
         source = inspect.getsource(module)
         assert ".collect()" not in source and "toPandas" not in source

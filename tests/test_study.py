@@ -1,12 +1,13 @@
 import json
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratafold.functions import text
-from stratafold.operators import audit, experiments, features, models, neighbours, scoring, splits
+from stratafold.operators import audit, experiments, features, models, neighbours, polygons, scoring, splits
 from stratafold.sources import files, rasters, runs, vectors
 from stratafold.streaming import moments
 
@@ -264,6 +265,48 @@ def test_run_folders(spark, tmp_path):
         assert sorted((r["partition"], r["block_id"], r["max_y"]) for r in rows) == [("test", 3, 20.0), ("train", 1, 20.0), ("train", 2, 20.0)]
 
 
+def test_predictions_of_a_rerun_replace_its_own_folders(spark, tmp_path):
+    """A run over several files comes back whole, a rerun leaves the other runs alone."""
+    root = str(tmp_path / "runs")
+    names = [part.split()[0] for part in runs.PREDICTIONS.split(", ")]
+    rows = spark.range(60).selectExpr(
+        "id AS row_index", "concat('s', id) AS sample_id", "'test' AS partition", "id % 5 AS block_id", "id % 2 AS label", "id / 3 AS x",
+        "CAST(NULL AS DOUBLE) AS y", "1 / (id + 1) AS probability", "id % 2 AS prediction", "CAST(id % 2 AS INT) AS realization", "'rf' AS algorithm")
+    runs.write_predictions(rows, root, rows_per_file=10)
+    back = runs.read_predictions(spark, root, "*.csv")
+    assert back.select("_metadata.file_path").distinct().count() > 2
+    key = lambda frame: sorted(map(str, frame.select(*names, "realization", "algorithm").collect()))
+    assert key(back) == key(rows)
+    runs.write_predictions(rows.where("realization = 1").limit(3), root)
+    assert {r["realization"]: r["count"] for r in runs.read_predictions(spark, root, "*.csv").groupBy("realization").count().collect()} == {0: 30, 1: 3}
+
+
+def test_split_manifest_file_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    blocks = spark.createDataFrame([(4, "train"), (2, "train"), (9, "test")], "block_id bigint, partition string")
+    box = polygons.bounds(spark.createDataFrame([(0.0, 1.0), (5.0, None), (2.0, 7.0)], "x double, y double"))
+    runs.write_split_manifest(blocks, box, 5, 7, path)
+    got = sorted(tuple(r) for r in runs.read_split_manifest(spark, path).collect())
+    assert got == [("test", 9, 5, 0.0, 1.0, 5.0, 7.0), ("train", 2, 5, 0.0, 1.0, 5.0, 7.0), ("train", 4, 5, 0.0, 1.0, 5.0, 7.0)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        runs.write_split_manifest(blocks, box, 5, 7, path)
+
+
+def test_within_bounds_keeps_edges(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 3.0), (3, 4.1, 3.0), (4, None, 1.0)], "id int, x double, y double")
+    box = polygons.bounds(points.where("id <= 2"))
+    assert sorted(r["id"] for r in polygons.within_bounds(points, box).collect()) == [1, 2]
+    assert polygons.within_bounds(points, polygons.bounds(points.where("id > 9"))).count() == 0
+    keyed = points.withColumn("k", F.col("id") % 2)
+    boxes = polygons.bounds(keyed.where("id = 1"), ["k"])
+    assert [r["id"] for r in polygons.within_bounds(keyed, boxes, ["k"]).collect()] == [1]
+
+
+def test_run_stamp_is_utc(spark):
+    stamp = spark.range(1).select(text.utc_stamp().alias("t")).first()["t"]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00", stamp)
+
+
 def test_hashes_and_owned_partitions(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.shp").write_bytes(b"abc")
