@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -213,11 +213,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def apply_model(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``segments`` (word positions, end exclusive, with an expected number under one), ``evidence`` and ``score``."""
     keep = [c for c in docs.columns if c not in ("segments", "evidence", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # from a bounded sample
+    # From a bounded sample. Plain values: a broadcast names its classes, and the executors may lack this package.
+    shared = docs.sparkSession.sparkContext.broadcast(asdict(model))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value, {}
+        own, known = Model(**shared.value), {}
         for batch in batches:
             lists, sums = [], []
             for raw in batch.column("_bytes"):

@@ -1,11 +1,15 @@
 """Quality, toxicity, secrets, likelihood and mixing against plain code."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -314,3 +318,33 @@ def test_helpers_agree_on_words():
     for a, b in product(["x", "é"], [" ", "\x1c", "\x85", " ", "\t", "\v"]):
         text = f"{a}{b}{a}"
         assert len(text.encode().split()) == len(WORD.findall(text))
+
+
+ALONE = """
+import sys
+sys.path.insert(0, sys.argv[1])  # of the driver only
+from pyspark.sql import functions as F
+from stratafold.llm import toxic_segments
+from stratafold.session import build_session
+spark = build_session("alone", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+def missing(rows):
+    import importlib.util
+    for _ in rows:
+        yield importlib.util.find_spec("stratafold") is None
+assert all(spark.sparkContext.parallelize(range(2), 2).mapPartitions(missing).collect())
+model = toxic_segments.Model(weights={b"vile": 2.0}, slope=1.0)
+docs = spark.createDataFrame([(1, "a vile vile thing"), (2, None)], "doc_id long, text string")
+got = {r["doc_id"]: r["score"] for r in toxic_segments.apply_model(docs, model).collect()}
+assert got[1] >= got[2], got
+spark.stop()
+print("scored", len(got))
+"""
+
+
+def test_toxicity_without_the_package_on_executors(tmp_path):
+    script = tmp_path / "alone.py"
+    script.write_text(ALONE)
+    root = str(Path(__file__).resolve().parents[2])
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script), root], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=120)
+    assert "scored 2" in done.stdout, done.stderr[-2000:]
