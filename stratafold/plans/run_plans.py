@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from stratafold.functions import geodesy, text
-from stratafold.operators import experiments, polygons, ranking
+from stratafold.operators import experiments, polygons, ranking, splits
 from stratafold.plans.metric_plans import RANKED, r6
-from stratafold.plans.study_plans import GRID, SEED
+from stratafold.plans.study_plans import GRID, MANIFEST, SEED, blocked, manifest_blocks
 from stratafold.plans.study_plans import PLANS as STUDY
 from stratafold.plans.views import table, view, with_views
 from stratafold.session import shared_folder
@@ -94,6 +94,20 @@ def split_manifest_file(spark, folder):
     return runs.read_split_manifest(spark, path)
 
 
+@plan("split_faults", with_views(MANIFEST + """, md AS (SELECT block_id, partition FROM mf WHERE block_id % 7 <> 3 UNION ALL SELECT block_id, 'extra' FROM mf WHERE block_id % 6 = 2),
+ r AS (SELECT block_id, label, partition FROM bk LEFT JOIN md USING (block_id) WHERE NOT (coalesce(partition, '') = 'validation' AND label = 1))
+ SELECT 'block in several partitions' AS problem, CAST(block_id AS VARCHAR) AS detail FROM md GROUP BY block_id HAVING count(DISTINCT partition) > 1
+ UNION ALL SELECT 'block without partition', CAST(block_id AS VARCHAR) FROM r WHERE partition IS NULL GROUP BY block_id
+ UNION ALL SELECT 'partition with one class', partition FROM r WHERE partition IS NOT NULL GROUP BY partition HAVING count(DISTINCT label) < 2""", "v_point"))
+def split_faults(spark, folder):
+    """A damaged split: blocks taken out of the manifest, blocks listed twice, a partition without positives."""
+    blocks = manifest_blocks(spark, folder).select("block_id", "partition")
+    twice = blocks.where("block_id % 6 = 2").withColumn("partition", F.lit("extra"))
+    damaged = blocks.where("block_id % 7 <> 3").unionByName(twice)
+    rows = splits.assign_partitions(blocked(spark, folder), damaged)
+    return splits.split_problems(rows.where("NOT (coalesce(partition, '') = 'validation' AND label = 1)"), damaged)
+
+
 @plan("benchmark_runs", with_views("""+g AS (SELECT realiz, model, count(*) AS n FROM v_pred GROUP BY realiz, model),
  a AS (SELECT CAST(r AS INT) AS realization, m AS algorithm FROM range(12) AS t(r), (SELECT unnest(['click', 'view', 'mlp']) AS m))
  SELECT realization, algorithm, 2026 AS seed, printf('realization_%02d/%s/seed_%d', realization, algorithm, 2026) AS path, coalesce(n, 0) AS n FROM a LEFT JOIN g ON realiz = realization AND model = algorithm""", "v_pred"))
